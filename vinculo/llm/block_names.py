@@ -25,7 +25,7 @@ def _named(keys: DataFrame, by: list[str]) -> DataFrame:
 
 
 def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(row_id, id, text_sha256, level, name): two rows have equal (level, name) iff their texts are equal.
+    """(id, text_sha256, copies, level, name), one row per id and text: two rows have equal (level, name) iff their texts are equal.
 
     The normalised text is cut into blocks of ``block_bytes`` bytes. Distinct blocks are sorted and
     get integer names; then adjacent names are paired and the distinct pairs sorted and named,
@@ -33,7 +33,7 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents of different lengths cannot meet. Names come from sorting whole blocks, so there are
     no collisions. Rows carry a SHA-256 of their block to find its name without moving the block
     again; that each digest stands for one block is checked, and otherwise an error is raised.
-    Rows with the same id stay apart, empty and null texts are one class.
+    Empty and null texts are one class; ``copies`` counts the rows that repeat an id and a text.
     """
     text = F.encode(normalised(text_col), "utf-8")
     parts = F.greatest(F.ceil(F.length("t") / F.lit(block_bytes)), F.lit(1)).cast("int")
@@ -44,19 +44,19 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     clash = blocks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if clash:
         raise RuntimeError("two blocks share a SHA-256 digest")
-    slim = each.select("id", "text_sha256", "parts", "pos", "digest")
-    now = materialize(slim.join(blocks.select("digest", "name"), "digest").select("id", "text_sha256", "parts", "pos", "name"))
+    slim = each.groupBy("id", "text_sha256", "parts", "pos", "digest").agg(F.count("*").alias("copies"))
+    now = materialize(slim.join(blocks.select("digest", "name"), "digest").select("id", "text_sha256", "parts", "copies", "pos", "name"))
     level, done = 0, []
     most = now.agg(F.max("parts")).first()[0] or 1
     while True:
-        done.append(now.where("parts = 1").select("id", "text_sha256", F.lit(level).alias("level"), "name"))
+        done.append(now.where("parts = 1").select("id", "text_sha256", "copies", F.lit(level).alias("level"), "name"))
         if most <= 1:
             break
         rest = now.where("parts > 1")
-        pairs = rest.groupBy("id", "text_sha256", "parts", F.expr("pos div 2").cast("int").alias("pos")).agg(
+        pairs = rest.groupBy("id", "text_sha256", "parts", "copies", F.expr("pos div 2").cast("int").alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.max(F.when(F.col("pos") % 2 == 1, F.col("name")).otherwise(F.lit(0))).alias("b"))
         names = _named(pairs.select("a", "b"), ["a", "b"])
-        now = materialize(pairs.join(names, ["a", "b"]).select("id", "text_sha256", F.ceil(F.col("parts") / 2).cast("int").alias("parts"), "pos", "name"))
+        now = materialize(pairs.join(names, ["a", "b"]).select("id", "text_sha256", F.ceil(F.col("parts") / 2).cast("int").alias("parts"), "copies", "pos", "name"))
         level, most = level + 1, (most + 1) // 2
     out = done[0]
     for d in done[1:]:
@@ -68,13 +68,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: (id, keep_id, group_size, kept, text_sha256).
 
     ``keep_id`` is the smallest id among the equal texts. Null text counts as empty. Rows that
-    repeat an id with the same text count each in ``group_size`` and are all kept or all dropped;
-    rows that repeat an id with other texts must be told apart by the caller. An empty table gives
-    an empty result. Other columns of ``docs`` are not read.
+    repeat an id and a text count each in ``group_size`` and are all kept or all dropped; rows of
+    one id with different texts are different documents. A null id sorts after all others and is
+    kept only where it is alone. An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     rows = block_identity(docs, id_col, text_col, block_bytes)
-    groups = rows.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, ["level", "name"]).select(
+    groups = rows.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    return rows.join(groups, ["level", "name"]).withColumn("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
