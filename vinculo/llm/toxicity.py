@@ -7,6 +7,7 @@ import itertools
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,17 +139,17 @@ class ToxicModel:
 
 
 def _distinct(bags: list[set[str]]) -> list[set[str]]:
-    """One bag of each group of near copies: bags that agree in two of twelve minimum word hashes of a row."""
-    seen: set[tuple] = set()
+    """One bag of each group of near copies: a copy agrees with an earlier bag in four of six pairs of minimum word hashes."""
+    owner: dict[tuple, int] = {}
     out = []
     scale = [int(x) | 1 for x in randoms(12, 7)]
-    for bag in bags:
+    for i, bag in enumerate(bags):
         hashes = [hash_of(w) for w in bag] or [0]
         low = [min((h * a) & 0xFFFFFFFFFFFF for h in hashes) for a in scale]
-        keys = {(j, low[j], low[j + 1]) for j in range(0, 12, 2)}
-        if len(seen & keys) < 2:
+        keys = [(j, low[j], low[j + 1]) for j in range(0, 12, 2)]
+        met = Counter(owner.setdefault(k, i) for k in keys)
+        if all(n < 4 for j, n in met.items() if j != i):
             out.append(bag)
-        seen |= keys
     return out
 
 
