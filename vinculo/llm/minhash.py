@@ -12,8 +12,10 @@ from vinculo.functions.components import connected_components
 from vinculo.functions.runtime import materialize, small
 from vinculo.llm.texts import map_batches, mix, randoms, shingled
 
-#: Rounds in which each bucket is compared with one centre before the rest is paired off.
-STAR_ROUNDS = 3
+#: Rounds in which each bucket is compared with one centre before the rest goes through the prefix filter.
+STAR_ROUNDS = 2
+#: Counters of the frequency sketch that orders shingles for the prefix filter (8 bytes each on the driver).
+SKETCH = 1 << 20
 
 
 def min_max_signature(values: np.ndarray, starts: np.ndarray, permutations: int) -> np.ndarray:
@@ -88,6 +90,46 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
+def _prefixes(percent: int, counts: np.ndarray):
+    """Of each set the rare shingles that decide (without those that occur once), and their ranks."""
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        out, ranks = [], []
+        for shingles in batch["shingles"]:
+            s = np.array(shingles, dtype=np.int64)
+            n, often = len(s), counts[s & (SKETCH - 1)]
+            first = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1]
+            held = np.flatnonzero(often[first] > 1)
+            out.append(s[first][held])
+            ranks.append(held)
+        return {"id": batch["id"], "component": batch["component"], "n": batch["n"], "prefix": out, "ranks": ranks}
+
+    return run
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, fits) -> DataFrame:
+    """All pairs (a, b) of ``nodes(id, component)`` in different components that can reach the similarity.
+
+    Two sets of n and m shingles with o in common share, in any order of the shingles, one of the
+    first n - o + 1 of the one and the first m - o + 1 of the other. Rare shingles come first here,
+    so in a large family of edited copies these hold a set's own edits, and only sets with edits in
+    common meet. The order comes from a sketch of bounded size; where
+    several shingles share its counters it stays an order.
+    """
+    held = materialize(nodes.join(sets, "id").withColumn("n", F.size("shingles")))
+    slot = F.explode("shingles").alias("s")
+    counts = np.zeros(SKETCH, dtype=np.int64)
+    for r in held.select(slot).groupBy(F.col("s").bitwiseAND(SKETCH - 1).alias("slot")).count().collect():
+        counts[r["slot"]] = r["count"]
+    shared = held.sparkSession.sparkContext.broadcast(counts)
+    prefixes = map_batches(held, lambda batch: _prefixes(percent, shared.value)(batch), "id long, component long, n int, prefix array<long>, ranks array<int>")
+    left = materialize(prefixes.select("id", "component", "n", F.explode(F.arrays_zip("prefix", "ranks")).alias("x")).select("id", "component", "n", F.col("x.prefix").alias("s"), F.col("x.ranks").alias("i")))
+    right = left.select("s", F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("other"))
+    least = f"ceil({percent} * (n + m) / {100 + percent})"  # the intersection that the similarity takes
+    decides = F.expr(f"id < b AND component <> other AND n - i >= {least} AND m - j >= {least}")
+    return left.join(right, "s").where(fits & decides).select(F.col("id").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, permutations: int = 70, rows: int = 5) -> DataFrame:
     """One row per document: (id, n_shingles, component_id, kept).
 
@@ -100,10 +142,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     probability under 1e-7, at 0.8 under 2e-5; links are confirmed on full sets.
 
     Equal sets are one class first, so groups of copies cost one representative. Within a bucket
-    the member that shares most buckets is compared with all others; the next rounds take the next
-    such member, only for buckets that still hold several components; the pairs that then remain
-    between components are all checked. So a bucket of near copies costs its length, not its
-    square, and no candidate pair that could join two components is left out.
+    the member that shares most buckets is compared with all others; the next round takes the next
+    such member, only for buckets that still hold several components. The members of buckets that
+    then still do are compared through an exact prefix filter (see ``_prefix_pairs``). So a bucket
+    of near copies costs its length, not its square, and no pair that links two components of a
+    bucket is left out.
 
     Null text is empty; rows that repeat an id must have one text (they return one row each);
     an empty table gives an empty result; other columns are not read.
@@ -137,8 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = met.where(fits & (F.col("component") != F.col("other"))).select(F.col("id").alias("a"), F.col("centre").alias("b"))
             members = met.where("id <> centre").select("band", "id", "n", "score")
         else:
-            left, right = members.alias("l"), members.select("band", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")).alias("r")
-            pairs = left.join(right, "band").where(fits & (F.col("component") != F.col("other")) & F.expr("id < b")).select(F.col("id").alias("a"), "b")
+            pairs = _prefix_pairs(members.select("id", "component").distinct(), sets, percent, fits)
         found = materialize(_confirmed(pairs.distinct(), sets, percent))
         links = found if links is None else links.unionByName(found)
         labels = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
