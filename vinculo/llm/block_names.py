@@ -16,12 +16,12 @@ def normalised(text: Column | str) -> Column:
 
 
 def _named(keys: DataFrame, by: list[str]) -> DataFrame:
-    """Integer names, in sorted order, for the distinct rows of ``keys``.
+    """Integer names, in sorted order, for the rows of ``keys``, which are distinct.
 
     The range sort numbers the keys; they are written once, so that every reader sees the same
     names even when a task is run again.
     """
-    return materialize(keys.distinct().orderBy(*by).withColumn("name", F.monotonically_increasing_id() + 1))
+    return materialize(keys.orderBy(*by).withColumn("name", F.monotonically_increasing_id() + 1))
 
 
 def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -32,7 +32,8 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     until one name is left. A document that is done leaves with the number of its level, so
     documents of different lengths cannot meet. Names come from sorting whole blocks, so there are
     no collisions. Rows carry a SHA-256 of their block to find its name without moving the block
-    again; that each digest stands for one block is checked, and otherwise an error is raised.
+    again; that each digest stands for one block is checked over all distinct blocks, and otherwise
+    an error is raised.
     Empty and null texts are one class; ``copies`` counts the rows that repeat an id and a text.
     """
     text = F.encode(normalised(text_col), "utf-8")
@@ -40,7 +41,8 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).select("id", F.sha2("t", 256).alias("text_sha256"), parts.alias("parts"), "t")
     each = rows.select("id", "text_sha256", "parts", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.substring(F.col("t"), i * block_bytes + 1, F.lit(block_bytes)))).alias("pos", "block"))
     each = each.withColumn("digest", F.unhex(F.sha2("block", 256)))
-    blocks = _named(each.select("digest", "block"), ["block"]).select("digest", "name", "block")
+    distinct = each.select("digest", "block").distinct()  # blocks move once; their order is by first bytes, then digest
+    blocks = _named(distinct.select(F.substring("block", 1, 16).alias("head"), "digest"), ["head", "digest"])
     clash = blocks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if clash:
         raise RuntimeError("two blocks share a SHA-256 digest")
@@ -55,7 +57,7 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rest = now.where("parts > 1")
         pairs = rest.groupBy("id", "text_sha256", "parts", "copies", F.expr("pos div 2").cast("int").alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.max(F.when(F.col("pos") % 2 == 1, F.col("name")).otherwise(F.lit(0))).alias("b"))
-        names = _named(pairs.select("a", "b"), ["a", "b"])
+        names = _named(pairs.select("a", "b").distinct(), ["a", "b"])
         now = materialize(pairs.join(names, ["a", "b"]).select("id", "text_sha256", F.ceil(F.col("parts") / 2).cast("int").alias("parts"), "copies", "pos", "name"))
         level, most = level + 1, (most + 1) // 2
     out = done[0]
