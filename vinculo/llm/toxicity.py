@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vinculo.llm.texts import map_batches, randoms
 
 #: Labelled documents of each class from which the model is fitted: those with the smallest hashes.
-MAX_TOXIC, MAX_CLEAN = 3000, 7000
+MAX_TOXIC, MAX_CLEAN = 2500, 6000
 #: Clean documents of these on which scores are calibrated.
 CALIBRATION = 2000
 #: Words of those clean documents held as negatives: the most frequent ones.
@@ -125,8 +125,8 @@ class ToxicModel:
     def margins(self, words: list[str]) -> np.ndarray:
         """SVM margin of each word: sum over landmarks of coefficient times kernel, plus offset."""
         out = np.full(len(words), self.offset, dtype=np.float64)
-        for lo in range(0, len(words), 4000):
-            part = words[lo : lo + 4000]
+        for lo in range(0, len(words), 2000):
+            part = words[lo : lo + 2000]
             r, f, v, owner = features(part)
             each = np.bincount(r, weights=v * self.weights[f], minlength=len(owner)) + self.offset
             best = np.full(len(part), -np.inf)
@@ -138,22 +138,25 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -35, 35)))
 
 
-def _distinct(bags: list[set[str]]) -> list[set[str]]:
-    """One bag of each group of near copies: a copy agrees with an earlier bag in four of six pairs of minimum word hashes."""
-    owner: dict[tuple, int] = {}
+def _distinct(bags: list[list[str]]) -> list[list[str]]:
+    """Bags without those that look like edited copies: two of six pairs of minimum word hashes occurred before.
+
+    Where that would leave under a fifth (few different words in all), every bag stays.
+    """
+    seen: set[tuple] = set()
     out = []
     scale = [int(x) | 1 for x in randoms(12, 7)]
-    for i, bag in enumerate(bags):
+    for bag in bags:
         hashes = [hash_of(w) for w in bag] or [0]
         low = [min((h * a) & 0xFFFFFFFFFFFF for h in hashes) for a in scale]
-        keys = [(j, low[j], low[j + 1]) for j in range(0, 12, 2)]
-        met = Counter(owner.setdefault(k, i) for k in keys)
-        if all(n < 4 for j, n in met.items() if j != i):
+        keys = {(j, low[j], low[j + 1]) for j in range(0, 12, 2)}
+        if len(seen & keys) < 2:
             out.append(bag)
-    return out
+        seen |= keys
+    return out if 5 * len(out) >= len(bags) else bags
 
 
-def _witnesses(toxic: list[set[str]], clean: list[set[str]], clean_counts: dict[str, int]) -> dict[str, int]:
+def _witnesses(toxic: list[list[str]], clean: list[list[str]], clean_counts: dict[str, int]) -> dict[str, int]:
     """Words that make a document toxic, with the number of toxic documents that hold them.
 
     Near copies count once. A word is a witness if that many toxic documents and so few clean ones
@@ -161,12 +164,13 @@ def _witnesses(toxic: list[set[str]], clean: list[set[str]], clean_counts: dict[
     word explains, by greedy cover: the word of most unexplained documents, down to three.
     """
     toxic = _distinct(toxic)
+    often = Counter(w for words in toxic for w in words)
     holders: dict[str, set[int]] = {}
     for i, words in enumerate(toxic):
         for w in words:
-            if len(w) > 2:
+            if len(w) > 2 and often[w] >= 3:
                 holders.setdefault(w, set()).add(i)
-    holders = {w: s for w, s in holders.items() if len(s) >= 3 and clean_counts.get(w, 0) * 20 <= len(s)}
+    holders = {w: s for w, s in holders.items() if clean_counts.get(w, 0) * 20 <= len(s)}
     share = len(toxic) / max(1, len(toxic) + len(clean))
     surely = np.log(0.01 / max(1, len(clean_counts))) / np.log(min(max(share, 0.02), 0.9))
     chosen = {w: len(s) for w, s in holders.items() if len(s) >= surely}
@@ -216,8 +220,8 @@ def _nystroem(landmarks: list[str], words: list[str]) -> tuple[np.ndarray, np.nd
     return kernel(words, landmarks) @ root, root
 
 
-def fit_model(rows: list[tuple[str, int]]) -> ToxicModel:
-    """Fit from (text, label) rows.
+def fit_model(rows: list[tuple[str | None | list[str], int]]) -> ToxicModel:
+    """Fit from (text, label) rows, or from (units of the text, label).
 
     A document is a bag of words, of which at least one must be toxic in a toxic document and none
     in a clean one. Witness words are picked by ``_witnesses``, landmarks are the most frequent
@@ -225,7 +229,7 @@ def fit_model(rows: list[tuple[str, int]]) -> ToxicModel:
     margins' maximum is calibrated to the labels by logistic regression. Without both classes
     every score is the share of label 1 (0 without rows).
     """
-    bags = [(units(t), y) for t, y in rows]
+    bags = [(t if isinstance(t, list) else sorted(units(t)), y) for t, y in rows]
     toxic = [b for b, y in bags if y == 1]
     clean = [b for b, y in bags if y != 1]
     clean_counts: dict[str, int] = {}
@@ -261,9 +265,10 @@ def fit_model(rows: list[tuple[str, int]]) -> ToxicModel:
             negatives = sorted({*negatives, *hard})
             landmarks = best[: LANDMARKS * 2 // 3] + hard[: LANDMARKS // 3]
     used = [(b, 1) for b in toxic] + [(b, 0) for b in clean[:CALIBRATION]]
-    vocabulary = sorted(set().union(*(b for b, _ in used)))
-    margin_of = dict(zip(vocabulary, model.margins(vocabulary), strict=True))
-    m = np.array([max((margin_of[w] for w in b), default=offset) for b, _ in used])
+    place: dict[str, int] = {}
+    numbers = [np.array([place.setdefault(w, len(place)) for w in b], dtype=np.int64) for b, _ in used]
+    margin = model.margins(list(place))
+    m = np.array([margin[i].max() if len(i) else offset for i in numbers])
     label = np.array([float(y) for _, y in used])
     counts = np.where(label == 1, 1.0, len(clean) / max(1, min(len(clean), CALIBRATION)))
     x, w = np.stack([m, np.ones_like(m)], axis=1), np.zeros(2)
@@ -279,19 +284,28 @@ def hash_of(word: str) -> int:
     return (zlib.crc32(word.encode()) * 0x9E3779B1) & 0xFFFFFFFF
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
-    """(text, label) of a bounded sample: per class the documents with the smallest id hashes.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[list[str], int]]:
+    """(units, label) of a bounded sample: per class the documents with the smallest id hashes.
 
-    Rows without text or label, and rows with crc32(id as text) mod 5 = 0, are left out.
+    Rows without text or label, and rows with crc32(id as text) mod 5 = 0, are left out. Ids are
+    chosen first; words are taken from the chosen texts on the executors, and one string per
+    document comes to the driver.
     """
     fold = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5))
-    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & (fold != 0))
-    chosen = chosen.groupBy("id").agg(F.max("y").alias("y"))
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(chosen, "id")
-    out = []
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & (fold != 0))
+    known = known.groupBy("id").agg(F.max("y").alias("y")).join(own.select("id").distinct(), "id")
+    chosen = None
     for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
-        out += [(r.text, r.y) for r in own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most).collect()]
-    return out
+        part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
+        chosen = part if chosen is None else chosen.unionByName(part)
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        return {"y": batch["y"], "words": ["\n".join(sorted(units(t))) for t in batch["text"]]}
+
+    rows = map_batches(own.join(F.broadcast(chosen), "id").select("y", "text"), run, "y int, words string")
+    seen: dict[str, str] = {}
+    return [([seen.setdefault(w, w) for w in r.words.split("\n") if w], r.y) for r in rows.toLocalIterator()]
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
