@@ -13,6 +13,10 @@ from vinculo.functions.runtime import materialize
 from vinculo.operators.exposure import is_open, portfolio_overview, unsecured_active
 
 
+#: Rounds of trimming before cycles are sought.
+TRIMS = 3
+
+
 def graph_nodes(cli: DataFrame, emp: DataFrame, pre: DataFrame) -> DataFrame:
     """(label, id, name, amount): the three kinds of nodes; empty text becomes null."""
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
@@ -73,14 +77,13 @@ def reachable(adj: DataFrame, starts: DataFrame | None = None, max_hops: int | N
 def cycles(adj: DataFrame, max_len: int = 6, budget: int = 50_000_000) -> DataFrame:
     """(length, nodes): directed simple cycles of 2 to ``max_len`` nodes, each once, from its smallest node.
 
-    Nodes without an edge in or out are trimmed first. Paths grow only to nodes above their root,
+    Nodes without an edge in or out are trimmed first, in TRIMS rounds. Paths grow only to nodes above their root,
     which gives each cycle one rotation. More than ``budget`` open paths is an error.
     """
     adj = materialize(adj.where("src <> dst").select("src", "dst").distinct())
-    for _ in range(max_len):
-        adj = adj.join(adj.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        adj = adj.join(adj.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    adj = materialize(adj)
+    for _ in range(TRIMS):  # written each time: a plan that reads itself twice a round would double with each
+        both = adj.select(F.col("src").alias("n")).distinct().join(adj.select(F.col("dst").alias("n")).distinct(), "n", "left_semi")
+        adj = materialize(adj.join(both.select(F.col("n").alias("src")), "src", "left_semi").join(both.select(F.col("n").alias("dst")), "dst", "left_semi").select("src", "dst"))
     paths = adj.where("dst > src").select(F.col("src").alias("root"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes"))
     found = None
     for length in range(2, max_len + 1):
