@@ -338,3 +338,10 @@ def test_hashing_of_chunks_does_not_depend_on_neighbours():
     for i, d in enumerate(docs):
         assert [s.tolist() for _, _, s in texts.shingled([d], 3)] == [whole[i]]
     assert whole[0] == whole[4][:4] and len(whole[5]) == 2
+
+
+def test_rows_without_id_stay(spark):
+    """A row without an id is not lost by the duplicate filters."""
+    df = spark.createDataFrame([(None, "alone of its kind"), (1, "a twin"), (2, "a twin")], "doc_id long, text string")
+    for drop in (block_names.drop_exact_duplicates, minhash.drop_near_duplicates):
+        assert sorted(((r.doc_id or 0, r.text) for r in drop(df).collect())) == [(0, "alone of its kind"), (1, "a twin")]

@@ -77,10 +77,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = block_identity(docs, id_col, text_col, block_bytes)
     groups = rows.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
     return rows.join(groups, ["level", "name"]).withColumn("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "text_sha256")
+        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class of equal texts, that with the smallest id; all columns stay."""
+    """``docs`` with one document of each class of equal texts, that with the smallest id; all columns stay.
+
+    Rows without an id cannot be told apart: they all stay if one of them does.
+    """
     keep = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col] == keep["__keep"], "left_semi")
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")

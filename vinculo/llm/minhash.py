@@ -187,10 +187,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rep = classes.join(labels, classes.rep == labels.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id")) if labels is not None else classes.select("digest", F.col("rep").alias("component_id"))
     return signed.join(rep, "digest", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
-        (F.col("id") == F.coalesce("component_id", "id")).alias("kept"))
+        F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component, that with the smallest id; all columns stay."""
+    """``docs`` with one document of each near-duplicate component, that with the smallest id; all columns stay.
+
+    Rows without an id cannot be told apart: they all stay if one of them does.
+    """
     keep = near_duplicates(docs, id_col, text_col, k, percent).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col] == keep["__keep"], "left_semi")
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
