@@ -119,8 +119,8 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, fits) -> Data
     held = materialize(nodes.join(sets, "id").withColumn("n", F.size("shingles")))
     slot = F.explode("shingles").alias("s")
     counts = np.zeros(SKETCH, dtype=np.int64)
-    for r in held.select(slot).groupBy(F.col("s").bitwiseAND(SKETCH - 1).alias("slot")).count().collect():
-        counts[r["slot"]] = r["count"]
+    sketch = held.select(slot).groupBy(F.col("s").bitwiseAND(SKETCH - 1).alias("slot")).count().toArrow()  # at most 16 MB, without a Python object per row
+    counts[sketch["slot"].to_numpy()] = sketch["count"].to_numpy()
     shared = held.sparkSession.sparkContext.broadcast(counts)
     prefixes = map_batches(held, lambda batch: _prefixes(percent, shared.value)(batch), "id long, component long, n int, prefix array<long>, ranks array<int>")
     left = materialize(prefixes.select("id", "component", "n", F.explode(F.arrays_zip("prefix", "ranks")).alias("x")).select("id", "component", "n", F.col("x.prefix").alias("s"), F.col("x.ranks").alias("i")))
