@@ -255,6 +255,18 @@ def test_repeated_passages(spark, edge, empty):
     assert {r.doc_id for r in compact_windows.repeated_passages(edge).collect()} == {8, 9, 10}
 
 
+def test_every_passage_of_a_pair(spark):
+    rng = random.Random(8)
+    fill = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    one, two, three = fill(60), fill(80), fill(90)
+    near = three[:44] + ["changed"] + three[45:]
+    repeated = three[:8]
+    docs = [(1, one + fill(70) + two), (2, one + fill(70) + two), (3, three + fill(90) + repeated + fill(90)), (4, near + fill(90) + repeated + fill(90)), (5, fill(5) + two + fill(40) + two)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.start_word, r.end_word, r.rep_id) for r in compact_windows.repeated_passages(df).collect()}
+    assert {(1, 0, 60, 1), (1, 130, 210, 1), (2, 0, 60, 1), (2, 130, 210, 1), (3, 0, 90, 3), (4, 0, 90, 3), (5, 5, 85, 1), (5, 125, 205, 1)} <= got
+
+
 def test_surrogates(spark, edge, empty):
     text = 'Mr. John Smith and Mrs SMITH wrote to ann.b1@mail7.example.com from 10.1.2.3, +1 (323) 555-9830, card 4111111111111111; token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B". Herr Иван Петров.'
     again = "ANN.B1@MAIL7.EXAMPLE.COM!! 4111 1111 1111 1111, Mr John Smith"
