@@ -255,6 +255,40 @@ def test_repeated_passages(spark, edge, empty):
     assert {r.doc_id for r in compact_windows.repeated_passages(edge).collect()} == {8, 9, 10}
 
 
+def test_repeated_passages_of_families_equal_brute_force(spark):
+    """The smallest id under a key holds a variant that is too different, a shared line elsewhere, or the passage at its second place."""
+    rng = random.Random(6)
+    fill = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    docs, want = [], {}
+    for f in range(40):
+        at, passage, line = 10 * f, fill(54), fill(12)
+        varied = list(passage)
+        for i in (9, 26, 43):
+            varied[i] = "changed"
+        framed = fill(21) + line + fill(21)
+        docs += [(at, fill(60) + varied + fill(60)), (at + 1, fill(60) + passage + fill(60)), (at + 2, fill(60) + passage + fill(60))]
+        docs += [(at + 3, fill(60) + line + fill(80)), (at + 4, fill(60) + line + fill(80) + framed + fill(60)), (at + 5, fill(60) + framed + fill(60))]
+        want |= {at + 1: (60, 114), at + 2: (60, 114), at + 4: (152, 206), at + 5: (60, 114)}
+    for i, words in docs:  # by brute force: the documents that share 46 or more shingles in a row with another
+        others = [set(zip(*(w[j:] for j in range(5)), strict=False)) for n, w in docs if n != i and n // 10 == i // 10]
+        runs = [[s in o for s in zip(*(words[j:] for j in range(5)), strict=False)] for o in others]
+        assert (i in want) == any("1" * 46 in "".join(map(str, map(int, r))) for r in runs)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.start_word, r.end_word) for r in compact_windows.repeated_passages(df).collect()}
+    assert got == {(i, *span) for i, span in want.items()}
+
+
+def test_pairs_of_the_rest_share_enough(spark):
+    """Many windows around one line: those with a passage in common are found after the rounds, the others do not meet."""
+    rng = random.Random(7)
+    fill = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    line, twins = fill(12), [fill(30) for _ in range(10)]
+    docs = [(i, fill(30) + line + fill(30)) for i in range(60)] + [(100 + i, fill(10) + twins[i // 2] + line + twins[i // 2][::-1] + fill(10)) for i in range(20)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.rep_id, r.start_word, r.end_word) for r in compact_windows.repeated_passages(df).collect()}
+    assert got == {(100 + i, 100 + i - i % 2, 10, 82) for i in range(20)}
+
+
 def test_every_passage_of_a_pair(spark):
     rng = random.Random(8)
     fill = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
