@@ -331,6 +331,31 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert not {(r.kind, r.surrogate) for r in got} & {(r.kind, r.canonical) for r in got}
 
 
+def test_surrogates_of_persons(spark):
+    """Whole names, scripts without case, mentions without a title, and one family name under all titles."""
+    texts = [
+        "Mr John Fitzgerald Kennedy met Dr. J. van Dyke. Later Kennedy and John Fitzgerald Kennedy left, and John's hat stayed. The dyke broke.",
+        "Mr Kennedy, Dr. Kennedy and Mrs Kennedy; MR KENNEDY", "Mr 田中 and Dr محمد and Prof כהן met. 田中 spoke.", "Dr. Anna Brown or Ms Anna Brown",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(df, b"k").collect()}
+    for name in ("Kennedy", "KENNEDY", "John", "Fitzgerald", "Dyke", "田中", "محمد", "כהן", "Anna", "Brown"):
+        assert not any(name in t for t in got.values()), name
+    m = re.fullmatch(r"Mr ((\w+) \w+ (\w+)) met Dr\. .*\. Later (\w+) and (\w+ \w+ \w+) left, and (\w+)'s hat stayed\. The dyke broke\.", got[0])
+    assert m[3] == m[4] and m[1] == m[5] and m[2] == m[6]
+    assert got[1] == f"Mr {m[3]}, Dr. {m[3]} and Mrs {m[3]}; MR {m[3].upper()}"
+    assert pii.script_of(got[2][3:]) == "han" and re.fullmatch(r"Mr (\S+) and Dr \S+ and Prof \S+ met\. \1 spoke\.", got[2])
+    assert len(set(re.fullmatch(r"Dr\. \w+ (\w+) or Ms \w+ (\w+)", got[3]).groups())) == 1
+
+
+def test_surrogates_of_persons_stay_distinct(spark):
+    rows = [(f"person-{'mfn'[i % 3]}", f"n{i}") for i in range(6000)] + [(f"person-{'mf'[i % 2]}", f"g{i} n0") for i in range(150)]
+    got = pii.collision_free(spark.createDataFrame(rows, "kind string, canonical string"), b"k").collect()
+    assert len(got) == 6150 and len({r.surrogate for r in got}) == 6150
+    assert {r.surrogate.split()[-1] for r in got if r.canonical.endswith(" n0")} == {r.surrogate for r in got if r.canonical == "n0"}
+    assert all(r.surrogate == pii.surrogate(b"k", r.kind, r.canonical, r.attempt) for r in got)
+
+
 def test_main_text(spark):
     import html
 
