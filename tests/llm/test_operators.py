@@ -379,6 +379,17 @@ def test_main_text_edges(spark):
     assert html_main.main_text(df.where("page_id = 99")).count() == 0
 
 
+@pytest.mark.parametrize("boiler", ["<div class='advert'><p>{}</p></div>", "<form><p>{}</p><input><input></form>", "<aside><ul><li><a href=x>{}</a></li><li>more</li></ul></aside>"])
+def test_main_text_around_boilerplate_without_article(boiler):
+    learned = html_main.learn(["<nav><p>" + "a " * 90 + "</p></nav><div class=advert><p>" + "buy " * 900 + "</p></div><article><p>" + "word " * 900 + "</p></article>"] * 20)
+    short, long = " ".join(f"s{i}" for i in range(40)), " ".join(f"l{i}" for i in range(400))
+    noise = boiler.format(" ".join(f"x{i}" for i in range(250)))
+    for weights in ({}, learned):
+        for one, two in ((short, long), (long, short), (short, short)):
+            page = f"<html><body><div><div><p>{one}</p>{noise}<p>{two}</p></div></div></body></html>"
+            assert html_main.extract(page, weights) == f"{one} {two}"
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     truth = dict(duckdb.sql(f"SELECT doc_id, toxic FROM read_parquet('{sf}/labels.parquet')").fetchall())

@@ -39,13 +39,14 @@ SPACES = re.compile(r"[\s ]+")
 
 @dataclass
 class Run:
-    """Text between two tags: its words' number, whether it starts a block, and the element it is in."""
+    """Text between two tags: its words' number, whether it starts a block, the element it is in, and the tags before it (``outer``: those not inside boilerplate)."""
 
     text: str
     words: int
     block: bool
     place: str
     tags: list[str]
+    outer: list[str]
     inside: bool
     dropped: bool
 
@@ -72,16 +73,17 @@ def parse(page: str) -> list[Run]:
     dropped = content = 0
     at, n, lower = 0, len(page), None
     tags: list[str] = []
+    outer: list[str] = []
     block = True
 
     def text(raw: str) -> None:
-        nonlocal tags, block
+        nonlocal tags, outer, block
         raw = html.unescape(raw) if "&" in raw else raw
         words = len(raw.split())
         if raw:
             place = next((t for t, _ in reversed(stack) if t in BLOCKS), "body")
-            out.append(Run(raw, words, block, place, tags, content > 0, dropped > 0))
-            tags, block = [], False
+            out.append(Run(raw, words, block, place, tags, outer, content > 0, dropped > 0))
+            tags, outer, block = [], [], False
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -99,6 +101,8 @@ def parse(page: str) -> list[Run]:
         closing = m[0][1] == "/"
         tags.append(f"/{tag}" if closing else tag)
         block |= tag in BLOCKS
+        if not closing and not dropped:
+            outer.append(tag)
         if closing:
             if any(t == tag for t, _ in stack):
                 while True:
@@ -107,6 +111,8 @@ def parse(page: str) -> list[Run]:
                     content -= t in ("article", "main")
                     if t == tag:
                         break
+            if not dropped:
+                outer.append(f"/{tag}")
         elif tag in RAW and tag != "head":
             lower = lower if lower is not None else page.lower()
             end = lower.find(f"</{tag}", at) if not m[0].endswith("/>") else at
@@ -156,7 +162,8 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     """The best run of words and tags, with boilerplate elements inside it left out.
 
     Elements that are boilerplate by name, role or class (menus, headers, footers, sidebars,
-    notices, adverts, forms, comments) add nothing but their tags and are never part of the text.
+    notices, adverts, forms, comments) are never part of the text and cost their own tags only,
+    whatever they hold, so content on both sides of an advert stays one run.
     A linear scan keeps the run of greatest total score; ties keep the first. A run that lies in an
     ``article`` or ``main`` element takes all of it. White space inside a
     block becomes one space, blocks are joined by one space. Empty without any content.
@@ -168,11 +175,11 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     start = 0
     span = (0, 0)
     for i, r in enumerate(runs):
-        for t in r.tags:
+        for t in r.outer:
             total += weights.get(f"t:{t}", -0.1 if t.lstrip("/") in ("p", "br", "b", "i", "em", "strong", "span", "h1", "h2", "h3", "h4", "blockquote") else -1.0)
             if total <= 0:
                 total, start = 0.0, i
-        total += r.words * (weights.get(f"w:{r.place}:1", -1.0) if r.dropped else weights.get(f"w:{r.place}:0", 1.0))
+        total += 0.0 if r.dropped else r.words * weights.get(f"w:{r.place}:0", 1.0)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
