@@ -37,3 +37,17 @@ def test_query_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_unlimited_reach_equals_brute_force(spark):
+    """All nodes that paths of any length reach, of which some lie beyond four hops."""
+    out, want = {}, set()
+    for r in QUERIES["guarantee_adjacency"](spark, SF).select("src", "dst").collect():
+        out.setdefault(r.src, set()).add(r.dst)
+    for start in out:
+        seen, front, depth = {start}, {start}, 0
+        while front:
+            front, depth = {y for x in front for y in out.get(x, ())} - seen, depth + 1
+            want |= {(start, y, depth) for y in front}
+            seen |= front
+    assert {(r.start, r.node, r.depth) for r in QUERIES["reach_unlimited"](spark, SF).collect()} == want and max(d for _, _, d in want) > 4

@@ -151,5 +151,6 @@ QUERIES: dict[str, Query] = {
     "classification_report": on(lambda p: scoring.classification_report(score_rows(p))),
     "bootstrap_intervals": on(lambda p: scoring.intervals(scoring.group_bootstrap(score_rows(p), ["model"], 50), ["model"])),
     "experiment_metrics": on(experiment),
+    "reach_unlimited": on(lambda p: graph.reachable(graph.guarantee_adjacency(p.garantias, p.prestamos))),
     "subgraph_stats": on(lambda p: acquisition.subgraph_stats(ties(p).select(F.col("id_individuo").alias("person_id")).distinct(), ties(p).select(F.col("id_individuo").alias("person_id"), F.col("id_empresa").alias("company_ref")))),
 }
