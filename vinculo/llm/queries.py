@@ -63,7 +63,7 @@ def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = toxicity.fit_model(toxicity.training_rows(docs, labels))
+    model = toxicity.fit(toxicity.training_rows(docs, labels))
     scored = toxicity.toxicity_scores(docs, model)
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
