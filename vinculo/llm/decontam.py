@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vinculo.functions.runtime import materialize
+from vinculo.functions.runtime import ROW, forget, materialize, small, with_rows
 
 SHINGLE = 5
 PERCENT = 80
-#: Hamming radius. At weighted similarity 0.8 the expected distance of 64-bit fingerprints is under 10 with deviation under 3.
-RADIUS = 23
-#: Distinct benchmark shingles up to which the test for them is a literal set in the plan; beyond, it is a join.
+#: Hamming radius. At weighted similarity 0.8 fingerprints of 64 bits are 9.7 apart on average, with deviation 2.9.
+RADIUS = 16
+#: Distinct benchmark shingles up to which the test for them is a literal set in the plan; beyond, it is a join with the same result.
 LITERAL_SET = 20_000
-#: Rows times longest item up to which the shingle index is sent to every executor (8 bytes each).
+#: Items times longest item up to which the items' shingles are sent to every executor (8 bytes each).
 INDEX_CELLS = 2_000_000
 
 
@@ -34,10 +34,21 @@ def _held(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
-FINGERPRINT = """aggregate(sequence(0, 63), 0L, (bits, b) -> bits | shiftleft(
-    CASE WHEN aggregate(win, 0, (s, x) -> s + 2 * cast(shiftright(x, b) & 1L AS int) - 1) > 0 THEN 1L ELSE 0L END, b))"""
-#: Multiset intersection: for each distinct shingle of the item the smaller count.
-COMMON = """aggregate(array_distinct(shingles), 0, (s, x) -> s + least(size(filter(win, y -> y = x)), size(filter(shingles, y -> y = x))))"""
+#: Counts of the 64 bits over the window, as 16 sums of four 16-bit lanes each; windows of fewer than 32,768 shingles.
+LANES = "array(" + ", ".join(f"aggregate(win, 0L, (s, x) -> s + (shiftrightunsigned(x, {j}) & 281479271743489L))" for j in range(16)) + ")"
+#: The same counts for windows of any length, one bit at a time.
+PLAIN = "transform(sequence(0, 63), b -> aggregate(win, 0, (s, x) -> s + cast(shiftright(x, b) & 1L AS int)))"
+FINGERPRINT = """aggregate(sequence(0, 63), 0L, (f, b) -> f | shiftleft(CASE WHEN 2 * (CASE WHEN size(win) < 32768
+    THEN shiftrightunsigned(lanes[b % 16], 16 * (b div 16)) & 65535L ELSE lanes[b] END) > size(win) THEN 1L ELSE 0L END, b))"""
+#: Multiset intersection: shared distinct shingles once, and what shingles that repeat within the item (``again``) add.
+COMMON = """size(array_intersect(win, shingles)) + aggregate(again, 0, (s, x) -> s
+    + greatest(least(size(filter(win, y -> y = x)), size(filter(shingles, y -> y = x))) - 1, 0))"""
+
+
+def fingerprinted(df: DataFrame) -> DataFrame:
+    """``df`` with ``fp``: bit b is set if it is set in more than half of the hashes of ``win``; repeated shingles count each time."""
+    counted = _held(df, F.expr(f"CASE WHEN size(win) < 32768 THEN {LANES} ELSE {PLAIN} END"), "lanes")
+    return counted.withColumn("fp", F.expr(FINGERPRINT)).drop("lanes")
 
 
 def _blocks(fp: str) -> Column:
@@ -47,67 +58,93 @@ def _blocks(fp: str) -> Column:
     return F.array(*[F.struct(F.lit(j).alias("block"), F.expr(f"shiftright({fp}, {a}) & {(1 << (b - a)) - 1}L").alias("bits")) for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_id, similarity, start_word, hamming): the best window of each document and item that it holds.
+def _need(m: str, n: str) -> str:
+    """Shared shingles that windows of ``m`` and ``n`` need for the similarity."""
+    return f"({PERCENT} * ({m} + {n}) + {99 + PERCENT}) div {100 + PERCENT}"
+
+
+def _found(rows: DataFrame, known: DataFrame, ks: list[int], fewest: int) -> DataFrame:
+    """(ROW, k, hs, found): rows with at least ``fewest`` shingles of the benchmark, their hashes, and (pos, h) of those shingles."""
+    text = _held(rows, _words("text"), "w")
+    of_k = F.array(*[F.struct(F.lit(k).alias("k"), _shingles("w", k).alias("sh")) for k in ks])
+    each = text.select(ROW, F.explode(of_k).alias("x")).select(ROW, "x.k", "x.sh")
+    if known.select("h").distinct().count() <= LITERAL_SET:
+        values = [r.h for r in known.select("h").distinct().collect()]
+        inside = f"x.h IN ({', '.join(f'{h}L' if h >= -(2**63) + 1 else 'CAST(-9223372036854775808 AS BIGINT)' for h in values)})"
+        found = _held(each, F.expr(f"filter(sh, x -> {inside})"), "found")
+    else:
+        at = each.select(ROW, "k", F.explode("sh").alias("x")).select(ROW, "k", "x", F.col("x.h").alias("h"))
+        at = at.join(small(known.select("h").distinct()), "h").groupBy(ROW, "k").agg(F.collect_list("x").alias("found"))
+        found = each.join(at, [ROW, "k"])
+    return found.where(F.size("found") >= fewest).select(ROW, "k", F.transform("sh", lambda x: x["h"]).alias("hs"), "found")
+
 
-    A window has as many words as the item. Its weighted similarity is the multiset Jaccard of
-    5-word shingles (an item of fewer words is one shingle), at least 0.8 to count. Windows that
-    share no shingle with an item have similarity 0, so windows are laid where a document's
-    shingle meets an item's, aligned on it. Their SimHash fingerprints meet the items' in a
-    multi-index of RADIUS + 1 bit blocks, which finds every fingerprint within the radius (a
-    window at 0.8 lies beyond it with probability under 1e-5); distinct fingerprints go through
-    the index once, however many documents hold the passage. Then the similarity is computed in
-    full.
-
-    Documents are read once, without moving texts. Null and empty texts and items match nothing;
-    repeated document ids or item ids act as one document or item with all their texts; empty
-    tables give an empty result; other columns are not read.
+def _windows(found: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(ROW, k, n, start, win): the item-sized windows that hold enough shingles of items of ``n`` shingles.
+
+    A window of ``n`` shingles can only be similar enough to an item of ``n`` if so many of its
+    shingles occur in items of that length. Moving its start to the next such shingle loses none of
+    them, so windows start at these. Windows that a document's end cuts off are shorter, and
+    those that its begin cuts off end at such a shingle.
     """
-    items = benchmark.select(F.col(item_id).alias("item"), _words(item_text).alias("w")).where("size(w) > 0")
-    items = items.withColumn("k", F.least(F.size("w"), F.lit(SHINGLE)))
-    ks = [r.k for r in items.select("k").distinct().collect()]
-    parts = [_held(_held(items.where(F.col("k") == k), F.col("w"), "words"), _shingles("words", k), "sh").select("item", "k", "sh") for k in ks or [SHINGLE]]
-    bench = parts[0]
-    for p in parts[1:]:
-        bench = bench.unionByName(p)
-    bench = bench.withColumn("win", F.transform("sh", lambda x: x["h"]))
-    bench = materialize(bench.select("item", "k", "sh", F.col("win").alias("shingles"), F.expr(FINGERPRINT).alias("item_fp")))
-    index = materialize(bench.select("item", "k", "shingles", "item_fp", F.explode("sh").alias("x")).groupBy("item", "k", "shingles", "item_fp", F.col("x.h").alias("h")).agg(F.min("x.pos").alias("item_pos")))
-    size = index.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("shingles")), F.lit(0)).alias("longest"), F.countDistinct("h").alias("distinct")).first()
-    longest = size["longest"]
-    text = _held(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), _words("text"), "w")
-    laid = None
-    for k in ks or [SHINGLE]:
-        shingled = _held(text.select("id", "w"), _shingles("w", k), "sh").select("id", "sh")
-        if size["distinct"] <= LITERAL_SET:
-            known = [r.h for r in index.where(F.col("k") == k).select("h").distinct().collect()]
-            inside = f"x.h IN ({', '.join(f'{h}L' if h >= -(2**63) + 1 else 'CAST(-9223372036854775808 AS BIGINT)' for h in known) or 'NULL'})"
-            found = _held(shingled, F.expr(f"filter(sh, x -> {inside})"), "found").where("size(found) > 0")
-        else:
-            at = shingled.select("id", F.explode("sh").alias("x")).select("id", "x.h", "x").join(index.where(F.col("k") == k).select("h").distinct(), "h")
-            found = shingled.join(at.groupBy("id").agg(F.collect_set("x").alias("found")), "id")
-        near = found.select("id", "sh", F.explode("found").alias("x")).select("id", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.greatest(F.col("x.pos") - longest, F.lit(0)).alias("left"), "sh")
-        near = near.select("id", "pos", "h", "left", F.expr(f"slice(sh, left + 1, {2 * longest + 1})").alias("around")).withColumn("k", F.lit(k))
-        laid = near if laid is None else laid.unionByName(near)
-    lookup = F.broadcast(index) if size["n"] * max(longest, 1) <= INDEX_CELLS else index
-    windows = laid.join(lookup, ["h", "k"]).withColumn("start", F.col("pos") - F.col("item_pos"))
-    begin = F.greatest(F.col("start"), F.lit(0)) - F.col("left")
-    end = F.col("start") + F.size("shingles") - F.col("left")
-    windows = windows.withColumn("win", F.transform(F.slice("around", begin + 1, end - begin), lambda x: x["h"]))
-    windows = materialize(windows.select("id", "item", "k", "start", "win", "shingles", "item_fp").distinct().withColumn("fp", F.expr(FINGERPRINT)))
-    pairs = windows.select("item", "k", "item_fp", "fp").distinct()
-    probes = pairs.select("item", "item_fp", "fp", F.explode(_blocks("fp")).alias("x")).select("item", "item_fp", "fp", "x.*")
-    table = bench.select("item", "item_fp", F.explode(_blocks("item_fp")).alias("x")).select("item", "item_fp", "x.*").distinct()
-    near = probes.join(table, ["item", "item_fp", "block", "bits"]).select("item", "item_fp", "fp").distinct()
-    near = near.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= RADIUS)
-    both = windows.join(near, ["item", "item_fp", "fp"]).withColumn("common", F.expr(COMMON))
+    at = found.select(ROW, "k", F.explode("found").alias("x")).select(ROW, "k", "x.pos", "x.h")
+    at = at.join(small(lengths), ["k", "h"]).groupBy(ROW, "k", "n").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    laid = at.where(F.expr("5 * size(p) >= 4 * n")).join(found.select(ROW, "k", "hs"), [ROW, "k"])
+    whole = "filter(transform(p, (q, i) -> struct(q AS start, least(n, size(hs) - q) AS m, i AS i)), c -> c.i + {0} <= size(p) AND p[int(c.i + {0} - 1)] < c.start + c.m)".format(_need("c.m", "n"))
+    cut = f"transform(filter(transform(p, (e, i) -> struct(e AS e, i AS i)), c -> c.e < n - 1 AND c.i + 1 >= {_need('c.e + 1', 'n')}), c -> struct(0 AS start, c.e + 1 AS m, c.i AS i))"
+    laid = laid.select(ROW, "k", "n", F.expr(f"explode(transform(concat({whole}, {cut}), c -> struct(c.start, slice(hs, c.start + 1, c.m) AS win)))").alias("x"))
+    return laid.select(ROW, "k", "n", "x.start", "x.win")
+
+
+def _leaks(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(ROW, item, similarity, start_word, hamming) for ``rows(ROW, text)``."""
+    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).withColumn("w", _words("text")).where("size(w) > 0")
+    items = items.withColumn("sh", F.coalesce(*[F.when(F.least(F.size("w"), F.lit(SHINGLE)) == k, _shingles("w", k)) for k in range(1, SHINGLE + 1)]))
+    bench = items.select("item", F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), F.size("sh").alias("n"), F.transform("sh", lambda x: x["h"]).alias("win"))
+    bench = fingerprinted(bench).withColumn("again", F.expr("filter(array_distinct(win), x -> size(filter(win, y -> y = x)) > 1)"))
+    bench = materialize(bench.select(F.monotonically_increasing_id().alias("no"), "item", "k", "n", F.col("win").alias("shingles"), F.col("fp").alias("item_fp"), "again"))
+    size = bench.agg(F.collect_set("k").alias("ks"), F.min("n").alias("least"), F.sum(F.size("shingles")).alias("cells")).first()
+    lengths = materialize(bench.select("k", "n", F.explode("shingles").alias("h")).distinct())
+    found = materialize(_found(rows, lengths, sorted(size["ks"]) or [SHINGLE], -(-4 * (size["least"] or 1) // 5)))
+    windows = materialize(fingerprinted(_windows(found, lengths)))
+    forget(found, lengths)
+    probes = windows.select("k", "n", "fp").distinct().select("k", "n", "fp", F.explode(_blocks("fp")).alias("x")).select("k", "n", "fp", "x.*")
+    table = bench.select("no", "k", "n", "item_fp", F.explode(_blocks("item_fp")).alias("x")).select("no", "k", "n", "item_fp", "x.*")
+    near = probes.join(small(table), ["k", "n", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    near = materialize(near.where(F.col("hamming") <= RADIUS).select("k", "n", "fp", "no", "hamming").distinct())
+    texts = bench.select("no", "item", "shingles", "again")
+    texts = F.broadcast(texts) if (size["cells"] or 0) <= INDEX_CELLS else texts
+    both = windows.join(small(near), ["k", "n", "fp"]).join(texts, "no").withColumn("common", F.expr(COMMON))
     union = F.size("win") + F.size("shingles") - F.col("common")
     hits = both.where(100 * F.col("common") >= PERCENT * union).withColumn("similarity", F.col("common") / union)
-    best = hits.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "hamming")).alias("best"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "best.similarity", F.greatest(-F.col("best.s"), F.lit(0)).alias("start_word"), F.col("best.hamming").cast("int").alias("hamming"))
+    best = hits.groupBy(ROW, "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("hamming")).alias("d"))).alias("best"))
+    return best.select(ROW, "item", "best.similarity", (-F.col("best.s")).alias("start_word"), (-F.col("best.d")).cast("int").alias("hamming"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, item_id, similarity, start_word, hamming): the best window of each document and item that it holds.
+
+    A window has as many 5-word shingles as the item (an item of fewer words is one shingle). Its
+    weighted similarity is the multiset Jaccard of the shingles, at least 0.8 to count. Windows are
+    fingerprinted by SimHash at every place where a similar one can lie (see ``_windows``, which loses
+    none), whatever the item; a multi-index of RADIUS + 1 bit blocks then finds all items of that size
+    with a fingerprint within the radius, each distinct fingerprint once, however many documents hold the passage. A
+    window at similarity 0.8 lies beyond the radius with probability 0.01, at 0.9 under 1e-4. Then the
+    similarity is computed in full.
+
+    Texts are not moved. Null and empty texts and items match nothing; very long texts are read
+    whole, and a window is no longer than its item. Rows without an id and rows that repeat an id are documents
+    of their own, with a row each; repeated or null item ids act as one item with all their texts; of
+    equally similar windows the first counts. Empty tables give an empty result; other columns are not read.
+    """
+    rows, unique = with_rows(docs, id_col, text_col)
+    out = _leaks(rows.select(ROW, F.col(text_col).alias("text")), benchmark, item_id, item_text)
+    out = out.withColumn("id", F.col(ROW)) if unique else out.join(rows.select(ROW, F.col(id_col).alias("id")), ROW)
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "similarity", "start_word", "hamming")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; all columns stay."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+    """``docs`` without the rows that hold a benchmark passage; all columns stay, and each row is judged by its own text."""
+    rows, _ = with_rows(docs, id_col, text_col)
+    bad = _leaks(rows.select(ROW, F.col(text_col).alias("text")), benchmark, "item_id", "text").select(ROW).distinct()
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
