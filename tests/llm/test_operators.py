@@ -422,8 +422,98 @@ def test_hashing_of_chunks_does_not_depend_on_neighbours():
     assert whole[0] == whole[4][:4] and len(whole[5]) == 2
 
 
-def test_rows_without_id_stay(spark):
-    """A row without an id is not lost by the duplicate filters."""
-    df = spark.createDataFrame([(None, "alone of its kind"), (1, "a twin"), (2, "a twin")], "doc_id long, text string")
-    for drop in (block_names.drop_exact_duplicates, minhash.drop_near_duplicates):
-        assert sorted(((r.doc_id or 0, r.text) for r in drop(df).collect())) == [(0, "alone of its kind"), (1, "a twin")]
+def test_rows_are_told_apart_when_ids_are_null_or_repeat(spark):
+    """Of equal texts one row stays, whatever the ids; rows of one id are judged each by its own text."""
+    items = [(1, "the quick brown fox jumps over the lazy dog again and again")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None, "alone of its kind", 1), (1, "a twin", 2), (2, "a twin", 3), (3, "q", 4), (3, "q", 5), (2, "a", 6), (4, "a", 7), (None, "q", 8), (None, items[0][1], 9), (5, items[0][1] + " x", 10), (5, "another", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    for drop, more in ((block_names.drop_exact_duplicates, [9]), (minhash.drop_near_duplicates, [])):
+        left = sorted(r.n for r in drop(df).collect())
+        assert len({4, 5}.intersection(left)) == 1 and sorted({*left} - {4, 5}) == sorted([1, 2, 6, 10, 11, *more])
+    exact = sorted((r.doc_id or 99, r.keep_id or 99, r.group_size, r.kept) for r in block_names.exact_duplicates(df).collect())
+    assert exact == sorted([(99, 99, 1, True), (1, 1, 2, True), (2, 1, 2, False), (3, 3, 3, True), (3, 3, 3, False), (2, 2, 2, True), (4, 2, 2, False), (99, 3, 3, False), (99, 99, 1, True), (5, 5, 1, True), (5, 5, 1, True)])
+    near = sorted((r.doc_id or 99, r.component_id or 99, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert near.count((3, 3, True)) == 1 and near.count((3, 3, False)) == 1 and near.count((99, 3, False)) == 1
+    for literal in (decontam.LITERAL_SET, 0):
+        kept, decontam.LITERAL_SET = decontam.LITERAL_SET, literal
+        try:
+            assert sorted((r.doc_id or 99, r.item_id) for r in decontam.contaminated(df, bench).collect()) == [(5, 1), (99, 1)]
+            assert sorted(r.n for r in decontam.drop_contaminated(df, bench).collect()) == [1, 2, 3, 4, 5, 6, 7, 8, 11]
+        finally:
+            decontam.LITERAL_SET = kept
+    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(80)] + [(101, 0)], "doc_id long, toxic int")
+    more = [(100 + i, "a moron walks" if i % 2 else f"word{i % 7} walks", 100 + i) for i in range(80)]
+    toxic = spark.createDataFrame([(None, "you moron", 1), (None, "you bird", 2), (1, "moron moron", 3), (1, "bird", 4), *more], "doc_id long, text string, n int")
+    assert sorted(r.n for r in toxicity.drop_toxic(toxic, labels).collect()) == [2, 4, *range(100, 180, 2)]
+
+
+def test_repeated_passages_of_rows_without_distinct_ids(spark):
+    rng = random.Random(9)
+    fill = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fill(60)
+    rows = [(None, fill(10) + passage), (7, passage + fill(10)), (7, fill(80)), (8, fill(80))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.start_word, r.end_word, r.rep_id) for r in compact_windows.repeated_passages(df).collect()}
+    assert got == {(None, 10, 70, 7), (7, 0, 60, 7)}
+
+
+def test_leaks_with_edits_equal_brute_force(spark):
+    """Edited passages, at begin, end and inside of documents, down to the least similarity: 0.99 of them are found, and nothing else."""
+    items = duckdb.sql(f"SELECT item_id, text FROM read_parquet('{SF}/benchmark.parquet')").fetchall()
+    rng = random.Random(1)
+    fill = lambda n: " ".join(f"z{rng.randrange(10**6)}" for _ in range(n))
+    docs = []
+    for i in range(300):
+        w = items[rng.randrange(len(items))][1].split()
+        for _ in range(rng.randrange(3)):
+            w[rng.choice([0, 1, 2, -1, -2, rng.randrange(len(w))])] = "changed"
+        t = " ".join(w[rng.randrange(4) if rng.random() < 0.3 else 0 :])
+        docs.append((i, rng.choice([t, f"{fill(20)} {t} {fill(9)}", f"{t} {fill(30)}", f"{fill(30)} {t}"])))
+    want = brute_leaks(docs, items)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_fingerprints_of_short_and_of_very_long_windows(spark):
+    """The packed bit counts give the same bits as counting one bit at a time."""
+    rng = random.Random(2)
+    wins = [[rng.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 7, 40, 32768)]
+    got = [r.fp for r in decontam.fingerprinted(spark.createDataFrame([(i, w) for i, w in enumerate(wins)], "i int, win array<long>")).orderBy("i").collect()]
+    want = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in w) > len(w)) for w in wins]
+    assert [g % 2**64 for g in got] == want
+
+
+def test_kernel_equals_a_plain_sum():
+    import itertools as it
+
+    def plain(a, b):
+        def vector(w):
+            w, out = f"<{w}>", collections.Counter()
+            for i, j, k in it.combinations(range(len(w)), 3):
+                if k - i < toxicity.SPAN:
+                    out[w[i], w[j], w[k]] += toxicity.DECAY ** (k - i - 2)
+            return out
+
+        x, y = vector(a), vector(b)
+        dot = lambda p, q: sum(v * q[s] for s, v in p.items())
+        return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+
+    words = ["moron", "mooron", "mroon", "idiot", "a", "the moron", "banana"]
+    # gaps of 0 to 3 characters inside the span count by DECAY, as in the packed form
+    got = toxicity.kernel(words, words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            assert abs(got[i, j] - plain(a, b)) < 1e-4, (a, b)
+
+
+def test_toxicity_of_phrases(spark):
+    """A phrase of two words that are both common in clean documents, also with inserted letters."""
+    rng = random.Random(5)
+    words = "the of and to bird tree cloud river stone walk talk green blue kill yourself help time".split()
+    clean = lambda: " ".join(rng.choice(words) for _ in range(12)).replace("kill yourself", "kill time")
+    model = toxicity.fit_model([(f"{clean()} kill yourself {clean()}", 1) for _ in range(60)] + [(clean(), 0) for _ in range(300)])
+    tests = ["go kill yourself now", "kiill yourself", "kill time", "help yourself", "kill the bird yourself", "kill. yourself", "the bird tree", None]
+    df = spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string")
+    assert [r.predicted for r in toxicity.toxicity_scores(df, model).orderBy("doc_id").collect()] == [1, 1, 0, 0, 0, 0, 0, 0]

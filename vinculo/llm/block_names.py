@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vinculo.functions.runtime import materialize
+from vinculo.functions.runtime import ROW, materialize, with_rows
 
 BLOCK_BYTES = 1024
 
@@ -58,7 +58,7 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pairs = rest.groupBy("id", "text_sha256", "parts", "copies", F.expr("pos div 2").cast("int").alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.max(F.when(F.col("pos") % 2 == 1, F.col("name")).otherwise(F.lit(0))).alias("b"))
         names = _named(pairs.select("a", "b").distinct(), ["a", "b"])
-        now = materialize(pairs.join(names, ["a", "b"]).select("id", "text_sha256", F.ceil(F.col("parts") / 2).cast("int").alias("parts"), "copies", "pos", "name"))
+        now = materialize(pairs.join(names, ["a", "b"]).select("id", "text_sha256", F.ceil(F.col("parts") / 2).cast("int").alias("parts"), "copies", "pos", "name"), names)
         level, most = level + 1, (most + 1) // 2
     out = done[0]
     for d in done[1:]:
@@ -69,21 +69,27 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: (id, keep_id, group_size, kept, text_sha256).
 
-    ``keep_id`` is the smallest id among the equal texts. Null text counts as empty. Rows that
-    repeat an id and a text count each in ``group_size`` and are all kept or all dropped; rows of
-    one id with different texts are different documents. A null id sorts after all others and is
-    kept only where it is alone. An empty table gives an empty result. Other columns of ``docs`` are not read.
+    ``keep_id`` is the smallest id among the equal texts. Null text counts as empty; very long texts are
+    read whole. Rows without an id and rows that repeat an id are documents of their own, ordered by id
+    (null last) and text; of equal texts one row is kept, the first. An empty table gives an empty
+    result. Other columns of ``docs`` are not read.
     """
-    rows = block_identity(docs, id_col, text_col, block_bytes)
-    groups = rows.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    return rows.join(groups, ["level", "name"]).withColumn("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    docs, unique = with_rows(docs, id_col, text_col)
+    rows = block_identity(docs, ROW, text_col, block_bytes)
+    groups = rows.groupBy("level", "name").agg(F.min("id").alias("keep"), F.sum("copies").alias("group_size"))
+    out = rows.join(groups, ["level", "name"]).select("id", "keep", "group_size", (F.col("id") == F.col("keep")).alias("kept"), "text_sha256")
+    if not unique:
+        names = docs.select(F.col(ROW).alias("row"), F.col(id_col).alias("name"))
+        out = out.join(names.select(F.col("row").alias("keep"), F.col("name").alias("least")), "keep").join(names.withColumnRenamed("row", "id"), "id")
+        out = out.drop("id", "keep").withColumnRenamed("name", "id").withColumnRenamed("least", "keep")
+    return out.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), "group_size", "kept", "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class of equal texts, that with the smallest id; all columns stay.
+    """``docs`` with one row of each class of equal texts, that with the smallest id; all columns stay.
 
-    Rows without an id cannot be told apart: they all stay if one of them does.
+    Rows without an id come last, and each of them and of the rows that repeat an id is judged by its own text.
     """
-    keep = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    rows, _ = with_rows(docs, id_col, text_col)
+    keep = exact_duplicates(rows.select(ROW, text_col), ROW, text_col).where("kept").select(ROW)
+    return rows.join(keep, ROW, "left_semi").select(*docs.columns)

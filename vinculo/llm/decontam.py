@@ -70,7 +70,7 @@ def _found(rows: DataFrame, known: DataFrame, ks: list[int], fewest: int) -> Dat
     each = text.select(ROW, F.explode(of_k).alias("x")).select(ROW, "x.k", "x.sh")
     if known.select("h").distinct().count() <= LITERAL_SET:
         values = [r.h for r in known.select("h").distinct().collect()]
-        inside = f"x.h IN ({', '.join(f'{h}L' if h >= -(2**63) + 1 else 'CAST(-9223372036854775808 AS BIGINT)' for h in values)})"
+        inside = f"x.h IN ({', '.join(f'{h}L' if h >= -(2**63) + 1 else 'CAST(-9223372036854775808 AS BIGINT)' for h in values) or 'NULL'})"
         found = _held(each, F.expr(f"filter(sh, x -> {inside})"), "found")
     else:
         at = each.select(ROW, "k", F.explode("sh").alias("x")).select(ROW, "k", "x", F.col("x.h").alias("h"))

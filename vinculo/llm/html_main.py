@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vinculo.llm.texts import map_batches
 
-#: Pages with an article or main element from which the weights are learned: those with the smallest id hashes.
+#: Pages with an article or main element from which the weights are learned: those with the smallest hashes of id and url.
 MAX_LABELLED = 2000
 
 # Fixed values of HTML and of common page templates.
@@ -24,6 +26,8 @@ BOILER_WORDS = {
     "replies", "discussion", "disqus", "respond", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs",
     "pagination", "pager", "widget", "form", "search", "copyright", "legal", "disclaimer", "toolbar", "masthead", "skip",
 }
+#: First parts of class names that only say what a layout has or has not.
+MODIFIERS = {"no", "has", "with", "without", "not", "hide", "show", "is"}
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
@@ -39,7 +43,7 @@ SPACES = re.compile(r"[\s ]+")
 
 @dataclass
 class Run:
-    """Text between two tags: its words' number, whether it starts a block, the element it is in, and the tags before it (``outer``: those not inside boilerplate)."""
+    """Text between two tags: its words' number, whether it starts a block, the element it is in, the tags before it (``outer``: those not inside boilerplate), and whether it lies inside an ``article`` or ``main`` element and inside boilerplate."""
 
     text: str
     words: int
@@ -51,38 +55,64 @@ class Run:
     dropped: bool
 
 
-def _boiler(tag: str, attributes: str) -> bool:
+def _boiler(tag: str, attributes: str) -> int:
+    """2 if the element is boilerplate by its tag, 1 if by its class, id or role, else 0."""
     if tag in BOILER:
-        return True
+        return 2
     if tag in ("body", "html", "article", "main"):
-        return False
+        return 0
     for kind, a, b, c in NAMED.findall(attributes) if attributes else ():
         value = (a or b or c).lower()
         if kind.lower() == "role":
             if value in BOILER_ROLES:
-                return True
-        elif BOILER_WORDS.intersection(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+                return 1
+        else:
+            for name in value.split():
+                parts = [p for p in re.split(r"[^a-z]+", name) if p]
+                if parts and parts[0] not in MODIFIERS and BOILER_WORDS.intersection(parts):
+                    return 1
+    return 0
+
+
+def _raw_end(tag: str) -> re.Pattern[str]:
+    return _ENDS.setdefault(tag, re.compile(rf"</{tag}", re.I | re.A))
+
+
+_ENDS: dict[str, re.Pattern[str]] = {}
 
 
 def parse(page: str) -> list[Run]:
-    """The page's text runs in order, with the tags before each."""
+    """The page's text runs in order, with the tags before each; the time is linear in the page.
+
+    An element that is boilerplate by its class only is none if it holds an ``article`` or ``main``
+    element; a ``header`` inside one of these, with the title, is content.
+    """
     out: list[Run] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is boilerplate
+    stack: list[tuple[str, int]] = []  # open elements, and whether each is boilerplate
+    places: list[str] = []  # the open block elements
+    counts: Counter[str] = Counter()  # how often each tag is open
     dropped = content = 0
-    at, n, lower = 0, len(page), None
+    at, n = 0, len(page)
     tags: list[str] = []
     outer: list[str] = []
     block = True
 
+    def leave() -> tuple[str, int]:
+        nonlocal dropped, content
+        t, bad = stack.pop()
+        counts[t] -= 1
+        if t in BLOCKS:
+            places.pop()
+        dropped -= bad > 0
+        content -= t in ("article", "main")
+        return t, bad
+
     def text(raw: str) -> None:
         nonlocal tags, outer, block
         raw = html.unescape(raw) if "&" in raw else raw
         words = len(raw.split())
         if raw:
-            place = next((t for t, _ in reversed(stack) if t in BLOCKS), "body")
-            out.append(Run(raw, words, block, place, tags, outer, content > 0, dropped > 0))
+            out.append(Run(raw, words, block, places[-1] if places else "body", tags, outer, content > 0, dropped > 0))
             tags, outer, block = [], [], False
 
     while at < n:
@@ -104,18 +134,17 @@ def parse(page: str) -> list[Run]:
         if not closing and not dropped:
             outer.append(tag)
         if closing:
-            if any(t == tag for t, _ in stack):
-                while True:
-                    t, bad = stack.pop()
-                    dropped -= bad
-                    content -= t in ("article", "main")
-                    if t == tag:
-                        break
+            if counts[tag]:
+                while leave()[0] != tag:
+                    pass
             if not dropped:
                 outer.append(f"/{tag}")
         elif tag in RAW and tag != "head":
-            lower = lower if lower is not None else page.lower()
-            end = lower.find(f"</{tag}", at) if not m[0].endswith("/>") else at
+            end = -1
+            if m[0].endswith("/>"):
+                end = at
+            elif found := _raw_end(tag).search(page, at):
+                end = found.start()
             if tag == "title" or end >= 0:
                 at = n if end < 0 else end
                 if end >= 0 and not m[0].endswith("/>"):
@@ -125,70 +154,99 @@ def parse(page: str) -> list[Run]:
                 at = n
         elif tag not in VOID and not m[0].endswith("/>"):
             if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
-                dropped -= stack.pop()[1]
-            bad = _boiler(tag, m[2])
+                leave()
+            if tag in ("article", "main"):
+                if dropped:
+                    dropped -= sum(b == 1 for _, b in stack)
+                    stack[:] = [(t, 0 if b == 1 else b) for t, b in stack]
+                content += 1
+            bad = 0 if tag == "header" and content else _boiler(tag, m[2])
             stack.append((tag, bad))
-            dropped += bad
-            content += tag in ("article", "main")
+            counts[tag] += 1
+            if tag in BLOCKS:
+                places.append(tag)
+            dropped += bad > 0
     return out
 
 
-def learn(pages: list[str]) -> dict[str, float]:
-    """Weights of words (by the block they stand in) and of tags, from pages that mark their content.
+def tokens(page: str) -> dict[tuple[str, bool], int]:
+    """How often each kind of word (by the block and element it stands in) and each tag occurs as content and as something else.
 
-    Within ``article`` or ``main`` tokens count as content. A weight is the log-odds of content,
-    held to the method's signs: words of blocks that are mostly content score above zero, words of
-    others and all tags below.
+    Content is what an ``article`` or ``main`` element holds, without boilerplate; pages without one count nothing.
     """
-    counts: dict[str, list[float]] = {}
-    for page in pages:
-        runs = parse(page)
-        if not any(r.inside for r in runs):
-            continue
+    runs = parse(page)
+    out: Counter[tuple[str, bool]] = Counter()
+    if any(r.inside for r in runs):
         for r in runs:
             good = r.inside and not r.dropped
-            for key, by in [(f"w:{r.place}:{int(r.dropped)}", r.words), *((f"t:{t}", 1) for t in r.tags)]:
-                counts.setdefault(key, [0.0, 0.0])[good] += by
-    import math
+            if not r.dropped:
+                out[f"w:{r.place}:{int(r.inside)}", good] += r.words
+            for t in r.tags:
+                out[f"t:{t}", good] += 1
+    return {k: n for k, n in out.items() if n}
 
+
+def weights_of(counts: dict[str, list[float]]) -> dict[str, float]:
+    """Log-odds of content from [others, content] counts, held to the method's signs: words score above zero, tags below."""
     weights = {}
     for key, (bad, good) in counts.items():
         odds = math.log((good + 1) / (bad + 1))
-        weights[key] = min(max(odds, -4.0), 2.0) if key[0] == "w" else min(max(odds, -8.0) / 2, -0.1)
+        weights[key] = min(max(odds, LEAST_WORD), 2.0) if key[0] == "w" else min(max(odds, -8.0) / 2, -0.1)
     return weights
 
 
+#: Least weight of a word.
+LEAST_WORD = 0.02
+
+
+def learn(pages: list[str]) -> dict[str, float]:
+    """The weights that labelled pages give."""
+    counts: dict[str, list[float]] = {}
+    for page in pages:
+        for (key, good), n in tokens(page).items():
+            counts.setdefault(key, [0.0, 0.0])[good] += n
+    return weights_of(counts)
+
+
+def best_run(scores: list[list[float]]) -> tuple[int, int]:
+    """[first, last) of the contiguous items with the greatest total, by one linear scan; an item may start only as a whole.
+
+    ``scores`` holds for each item its parts in order; where the total falls to 0 or less a new run
+    begins with the next part. Ties keep the first run; without a positive total it is empty.
+    """
+    best = total = 0.0
+    start, span = 0, (0, 0)
+    for i, parts in enumerate(scores):
+        for x in parts:
+            if total <= 0:
+                total, start = 0.0, i
+            total += x
+        if total > best:
+            best, span = total, (start, i + 1)
+    return span
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The best run of words and tags, with boilerplate elements inside it left out.
 
     Elements that are boilerplate by name, role or class (menus, headers, footers, sidebars,
     notices, adverts, forms, comments) are never part of the text and cost their own tags only,
-    whatever they hold, so content on both sides of an advert stays one run.
-    A linear scan keeps the run of greatest total score; ties keep the first. A run that lies in an
-    ``article`` or ``main`` element takes all of it. White space inside a
-    block becomes one space, blocks are joined by one space. Empty without any content.
+    whatever they hold, so content on both sides of an advert stays one run. Words score by the
+    block they stand in and by whether the page marks that part as content (see ``learn``); where a page marks
+    nothing they score 1. White space inside a block becomes one space, blocks are joined by one
+    space. Empty without any content.
     """
     if not page:
         return ""
     runs = parse(page)
-    best = total = 0.0
-    start = 0
-    span = (0, 0)
-    for i, r in enumerate(runs):
-        for t in r.outer:
-            total += weights.get(f"t:{t}", -0.1 if t.lstrip("/") in ("p", "br", "b", "i", "em", "strong", "span", "h1", "h2", "h3", "h4", "blockquote") else -1.0)
-            if total <= 0:
-                total, start = 0.0, i
-        total += 0.0 if r.dropped else r.words * weights.get(f"w:{r.place}:0", 1.0)
-        if total <= 0:
-            total, start = 0.0, i + 1
-        elif total > best:
-            best, span = total, (start, i + 1)
-    first, last = span
-    while last < len(runs) and last > first and runs[last].inside and runs[last - 1].inside:
-        last += 1
-    while 0 < first < last and runs[first].inside and runs[first - 1].inside:
-        first -= 1
+    marked = any(r.inside and r.words and not r.dropped for r in runs)
+    plain = {"p", "br", "b", "i", "em", "strong", "span", "h1", "h2", "h3", "h4", "blockquote"}
+
+    def word(r: Run) -> float:
+        return weights.get(f"w:{r.place}:{int(r.inside)}", 2.0 if r.inside else LEAST_WORD) if marked else 1.0
+
+    scores = [[*(weights.get(f"t:{t}", -0.1 if t.lstrip("/") in plain else -1.0) for t in r.outer), 0.0 if r.dropped else r.words * word(r)] for r in runs]
+    first, last = best_run(scores)
     parts = []
     for r in runs[first:last]:
         if not r.dropped:
@@ -201,15 +259,29 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: (id, url, text, n_chars).
 
-    The weights come from a bounded sample of the pages that mark their content with ``article`` or
-    ``main``; without such pages fixed defaults hold. Null html gives the empty text; repeated ids
-    give a row each; an empty table an empty result; other columns are not read. Whole pages are
-    read, in a map without a shuffle.
+    The weights come from a bounded sample, ``MAX_LABELLED`` of the pages that mark their content with
+    ``article`` or ``main``: hashes are compared first, then the chosen pages are read and counted on the executors,
+    and the driver sees the counts. Without such pages fixed defaults hold. Null html gives the empty
+    text; very long pages are read whole, in linear time; null and repeated ids give a row each; an
+    empty table an empty result; other columns are not read. The pages are mapped without a shuffle.
     """
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    marked = own.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).where(F.length("html") < 1_000_000)
-    sample = [r.html for r in marked.select("html", F.xxhash64("id").alias("h")).orderBy("h").limit(MAX_LABELLED).collect()]
-    weights = learn(sample)
+    marked = own.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).withColumn("h", F.xxhash64("id", "url"))
+    chosen = marked.select("h").orderBy("h").limit(MAX_LABELLED).agg(F.max("h").alias("most"), F.count("*").alias("n")).first()
+    weights: dict[str, float] = {}
+    if chosen["n"]:
+
+        def count(batch: dict[str, list]) -> dict[str, list]:
+            total: Counter[tuple[str, bool]] = Counter()
+            for page in batch["html"]:
+                total.update(tokens(page))
+            return {"key": [k for k, _ in total], "good": [g for _, g in total], "n": list(total.values())}
+
+        counted = map_batches(marked.where(F.col("h") <= F.lit(chosen["most"])).select("html"), count, "key string, good boolean, n long")
+        counts: dict[str, list[float]] = {}
+        for r in counted.groupBy("key", "good").agg(F.sum("n").alias("n")).collect():  # tag names and kinds of words
+            counts.setdefault(r.key, [0.0, 0.0])[r.good] += r.n
+        weights = weights_of(counts)
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         texts = [extract(h, weights) for h in batch["html"]]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vinculo.functions.components import connected_components
-from vinculo.functions.runtime import materialize, small
+from vinculo.functions.runtime import ROW, materialize, small, with_rows
 from vinculo.llm.texts import map_batches, mix, randoms, shingled
 
 #: Rounds in which each bucket is compared with one centre before the rest goes through the prefix filter.
@@ -148,10 +148,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of near copies costs its length, not its square, and no pair that links two components of a
     bucket is left out.
 
-    Null text is empty; rows that repeat an id must have one text (they return one row each);
-    an empty table gives an empty result; other columns are not read.
+    Null text is empty; very long texts are read whole; rows without an id and rows that repeat an id are
+    documents of their own, ordered by id (null last) and text, and then ``kept`` marks one row of each
+    component; an empty table gives an empty result; other columns are not read.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows_, unique = with_rows(docs, id_col, text_col)
+    out = _near(rows_.select(F.col(ROW).alias("id"), F.col(text_col).alias("text")), k, percent, permutations, rows)
+    out = out.withColumn("kept", F.col("id") == F.col("component_id"))
+    if not unique:
+        names = rows_.select(F.col(ROW).alias("row"), F.col(id_col).alias("name"))
+        out = out.join(names.select(F.col("row").alias("component_id"), F.col("name").alias("least")), "component_id").join(names.withColumnRenamed("row", "id"), "id")
+        out = out.select(F.col("name").alias("id"), "n_shingles", F.col("least").alias("component_id"), "kept")
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _near(own: DataFrame, k: int, percent: int, permutations: int, rows: int) -> DataFrame:
+    """(id, n_shingles, component_id) for ``own(id, text)`` with distinct ids."""
     signed = materialize(map_batches(own, _sign(k, permutations, rows), "id long, n int, digest binary, bands array<long>"))
     classes = materialize(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")))
     reps = classes.select(F.col("rep").alias("id")).join(signed, "id").groupBy("id").agg(F.max("n").alias("n"), F.max("bands").alias("bands"))
@@ -185,15 +197,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = found if links is None else links.unionByName(found)
         labels = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     rep = classes.join(labels, classes.rep == labels.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id")) if labels is not None else classes.select("digest", F.col("rep").alias("component_id"))
-    return signed.join(rep, "digest", "left").select(
-        F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
-        F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"))
+    return signed.join(rep, "digest", "left").select("id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component, that with the smallest id; all columns stay.
+    """``docs`` with one row of each near-duplicate component, that with the smallest id; all columns stay.
 
-    Rows without an id cannot be told apart: they all stay if one of them does.
+    Rows without an id come last, and each of them and of the rows that repeat an id is judged by its own text.
     """
-    keep = near_duplicates(docs, id_col, text_col, k, percent).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    rows, _ = with_rows(docs, id_col, text_col)
+    keep = near_duplicates(rows.select(ROW, text_col), ROW, text_col, k, percent).where("kept").select(ROW)
+    return rows.join(keep, ROW, "left_semi").select(*docs.columns)

@@ -92,8 +92,8 @@ def shingled(texts: list[str | None], k: int) -> Iterator[tuple[int, list[bytes]
             yield lo + i, docs[i], s
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """mapInArrow with columns as Python lists in and out."""
+def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, budget: int = 8 << 20) -> DataFrame:
+    """mapInArrow with columns as Python lists in and out, about ``budget`` bytes of input at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -102,17 +102,17 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(spark_schema)
         for b in batches:
-            for lo, hi in runs_of(b):
+            for lo, hi in runs_of(b, budget):
                 out = fn(b.slice(lo, hi - lo).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, spark_schema)
 
 
-def runs_of(b: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch with about 8 MB each, so that Python objects stay few."""
+def runs_of(b: pa.RecordBatch, budget: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch with about ``budget`` bytes each, so that Python objects stay few."""
     if not b.num_rows:
         return
-    step = max(1, int(b.num_rows * (8 << 20) / max(1, b.nbytes)))
+    step = max(1, int(b.num_rows * budget / max(1, b.nbytes)))
     for lo in range(0, b.num_rows, step):
         yield lo, min(b.num_rows, lo + step)
