@@ -517,3 +517,45 @@ def test_toxicity_of_phrases(spark):
     tests = ["go kill yourself now", "kiill yourself", "kill time", "help yourself", "kill the bird yourself", "kill. yourself", "the bird tree", None]
     df = spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string")
     assert [r.predicted for r in toxicity.toxicity_scores(df, model).orderBy("doc_id").collect()] == [1, 1, 0, 0, 0, 0, 0, 0]
+
+
+def test_surrogates_of_small_spaces(spark):
+    """More entities than surrogates of their length: all stay distinct, and none equals an entity."""
+    rows = [("phone", f"{i:03d}") for i in range(100, 1000)] + [("ip", f"192.168.{a}.{b}") for a in range(256) for b in range(0, 256, 4)]
+    got = pii.collision_free(spark.createDataFrame(rows, "kind string, canonical string"), b"k").collect()
+    assert len(got) == len(rows) and len({(r.kind, r.surrogate) for r in got}) == len(rows)
+    assert not {(r.kind, r.surrogate) for r in got} & set(rows)
+    assert pii.rendered("phone", "+1 2 3", "45678") == "+4 5 678"
+
+
+def test_surrogates_of_rows_without_id(spark):
+    """Entities that a collision moved are moved in rows without an id as well."""
+    rows = [(None, f"call +{i // 100} {i // 10 % 10} {i % 10} now") for i in range(100, 1000)]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()]
+    phones = [re.sub(r"\D", "", t) for t in got]
+    assert len(got) == 900 and all(p and t.startswith("call +") for p, t in zip(phones, got, strict=True))
+    if all(len(re.findall(r"\d", t)) == 3 for _, t in rows):
+        found = [pii.find(t) for _, t in rows]
+        assert not all(found) or len(set(phones)) == 900
+
+
+def test_main_text_keeps_articles_titles_and_offsets():
+    words = "w " * 60
+    inner = f"<article><header><h1>My title</h1></header><p>{words}</p></article>"
+    want = f"My title {words.strip()}"
+    for page in (f"<div class='layout no-sidebar'>{inner}</div>", f"<div class='has-header wrapper'><div class=sidebar><p>{words}</p></div>{inner}</div>", f"<div class='site header'>{inner}</div>"):
+        assert html_main.extract(page, {}) == want
+    assert html_main.extract(f"<p>{'İ ' * 30}</p><script>var x</script><p>after {words}</p>", {}) == f"{'İ ' * 30}after {words.strip()}"
+    assert html_main.extract("<b>x " * 50000, {}).count("x") == 50000
+
+
+def test_best_run_equals_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        scores = [[-rng.random() * 3 for _ in range(rng.randrange(3))] + [rng.choice([0.0, rng.random() * 4])] for _ in range(rng.randrange(1, 12))]
+        flat = [(x, i) for i, parts in enumerate(scores) for x in parts]
+        ends = [j for j, (_, i) in enumerate(flat, 1) if j == len(flat) or flat[j][1] != i]
+        want = max([0.0] + [sum(x for x, _ in flat[a:b]) for a in range(len(flat)) for b in ends if b > a])
+        first, last = html_main.best_run(scores)
+        whole = sum(sum(p) for p in scores[first + 1 : last]) + (max(sum(scores[first][a:]) for a in range(len(scores[first]))) if last > first else 0.0)
+        assert abs(whole - want) < 1e-9

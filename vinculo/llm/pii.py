@@ -59,6 +59,8 @@ TOKEN = re.compile(r"(?<!\w)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w)")
 TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[ \t]+(?=[^\W\d_])", re.I)
 WORD = re.compile(r"[^\W\d_](?:\.(?=[ \t]+[^\W\d_])|[\w'’-]*)")
 GAP = re.compile(r"[ \t]+(?=[^\W\d_])")
+#: Where a number may begin, where a long hexadecimal string may be, and words: cheap tests before the patterns above.
+STARTS, LONG, TOKENS = re.compile(r"[\d+(]"), re.compile(r"[0-9a-fA-F]{32}"), re.compile(r"\w+")
 
 
 def script_of(word: str) -> str:
@@ -131,12 +133,17 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     spans = []
     if "@" in text:
         spans += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
-    for m in DIGITS.finditer(text):
-        kind = m.lastgroup
-        spans.append((m.start(), m.end(), kind, m[0] if kind == "ip" else re.sub(r"\D", "", m[0])))
-    spans += [(m.start(), m.end(), "token", m[0].lower()) for m in TOKEN.finditer(text)]
+    at = 0
+    while start := STARTS.search(text, at):
+        m = DIGITS.match(text, start.start())
+        at = m.end() if m else start.end()
+        if m:
+            kind = m.lastgroup
+            spans.append((m.start(), m.end(), kind, m[0] if kind == "ip" else re.sub(r"\D", "", m[0])))
+    if LONG.search(text):
+        spans += [(m.start(), m.end(), "token", m[0].lower()) for m in TOKEN.finditer(text)]
     people = []
-    for m in TITLED.finditer(text):
+    for m in () if TITLES.keys().isdisjoint(TOKENS.findall(text.lower())) else TITLED.finditer(text):
         end, words = _name_at(text, m.end(), m[1])
         if words:
             people.append((TITLES[m[1].lower()], [w.casefold() for w in words]))
@@ -184,7 +191,9 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         return f"{shape(local, s)}{extra}@{'.'.join(inner)}.{tail}"
     if kind == "ip":
         first = canonical.split(".")
-        keep = 1 if first[0] in ("10", "127") else 2 if first[:2] == ["192", "168"] or (first[0] == "172" and 16 <= int(first[1]) <= 31) else 0
+        if attempt >= MAX_ATTEMPTS // 3:  # the private ranges are small: the widest one, then public addresses
+            first = ["10"] if attempt < 2 * MAX_ATTEMPTS // 3 else ["0"]
+        keep = 1 if first[0] in ("10", "127") else 2 if first[:2] == ["192", "168"] or (first[0] == "172" and len(first) > 1 and 16 <= int(first[1]) <= 31) else 0
         return ".".join(first[:keep] + [str(1 + s.below(223 if i == 0 else 254)) for i in range(keep, 4)])
     if kind == "card":
         body = canonical[0] + "".join(str(s.below(10)) for _ in canonical[1:-1])
@@ -193,7 +202,8 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         return body + str(check if valid else (check + 1 + s.below(9)) % 10)
     if kind in ("phone", "ssn"):
         keep = 1 if kind == "phone" and len(canonical) > 10 else 0
-        return canonical[:keep] + str(2 + s.below(8)) + "".join(str(s.below(10)) for _ in canonical[keep + 1 :])
+        more = "".join(str(s.below(10)) for _ in range(attempt // 4))  # few digits have few surrogates: later attempts are longer
+        return canonical[:keep] + str(2 + s.below(8)) + "".join(str(s.below(10)) for _ in canonical[keep + 1 :]) + more
     if kind == "token":
         return "".join("0123456789abcdef"[s.below(16)] for _ in canonical)
     if kind.startswith("given"):
@@ -213,7 +223,7 @@ def rendered(kind: str, original: str, canonical: str) -> str:
     """A canonical form in the format of the occurrence: its separators and its letter case."""
     if kind in ("card", "phone", "ssn"):
         digits = iter(canonical)
-        return "".join(next(digits, "") if c.isdigit() else c for c in original)
+        return "".join(next(digits, "") if c.isdigit() else c for c in original) + "".join(digits)
     if original.upper() == original and original.lower() != original:
         return canonical.upper()
     return canonical.title() if kind.startswith(("person", "given")) else canonical
@@ -301,10 +311,11 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     secrets and titled names are detected, and the other mentions of these names in the document. A
     family name has one surrogate whatever the title; the title's gender picks the given names. The surrogate depends on the key, the kind and the
     entity, so one entity has one surrogate in all documents. Format, check digit, letter case,
-    script and the gender that the title states are kept. Most surrogates follow from the key
+    script and the gender that the title states are kept; where a format has fewer surrogates than
+    the corpus has entities, those that would collide get more digits, or an address of a wider range. Most surrogates follow from the key
     alone; only the entities that a collision moved to a later attempt travel to the documents
-    that hold them. Null text stays null with 0 entities, clean text is unchanged; rows that
-    repeat an id give a row each; an empty table an empty result; other columns are not read.
+    that hold them. Null text stays null with 0 entities, clean text is unchanged; very long texts are replaced whole; null ids and rows that
+    repeat an id give a row each (an id's rows share the attempts of their entities, which follow from the entities alone); an empty table an empty result; other columns are not read.
     """
     held = materialize(entities(docs, id_col, text_col))
     moved = collision_free(held.select("kind", "canonical").distinct(), key).where("attempt > 0")
@@ -324,5 +335,6 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
         return {"id": batch["id"], "text": texts, "n_entities": counts}
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = own.join(small(moved), "id", "left").select("id", "text", "moved")
+    known = own["id"].eqNullSafe(moved["id"])
+    joined = own.join(small(moved), known, "left").select(own["id"], "text", "moved")
     return map_batches(joined, run, "id long, text string, n_entities int").select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_entities")

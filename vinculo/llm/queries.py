@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from vinculo.llm import block_names, compact_windows, decontam, html_main, minhash, pii, sharding, sp_fst, token_counts, toxicity
 
 SHARDS = 24
-#: Key of the surrogates; production sets its own.
-SURROGATE_KEY = os.environ.get("VINCULO_SURROGATE_KEY", "key for tests").encode()
+#: Key of the surrogates. Without one of its own every process has a new one, so surrogates cannot be traced back.
+SURROGATE_KEY = os.environ.get("VINCULO_SURROGATE_KEY", "").encode() or secrets.token_bytes(32)
 
 
 def vocabulary(name: str) -> str:
