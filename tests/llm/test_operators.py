@@ -559,3 +559,36 @@ def test_best_run_equals_brute_force():
         first, last = html_main.best_run(scores)
         whole = sum(sum(p) for p in scores[first + 1 : last]) + (max(sum(scores[first][a:]) for a in range(len(scores[first]))) if last > first else 0.0)
         assert abs(whole - want) < 1e-9
+
+
+@pytest.mark.parametrize("kind,rule,fallback,squeeze", [("unigram", "nmt_nfkc", True, True), ("unigram", "nmt_nfkc_cf", False, True), ("unigram", None, True, False), ("bpe", "nmt_nfkc", False, True), ("bpe", None, True, False)])
+def test_transducers_of_other_models_equal_the_library(kind, rule, fallback, squeeze):
+    """Hand-made models of both kinds, with and without normaliser and byte fallback."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as model_pb2
+
+    rng = random.Random(7)
+    m = model_pb2.ModelProto()
+    m.trainer_spec.model_type = {"unigram": 1, "bpe": 2}[kind]
+    m.trainer_spec.byte_fallback = fallback
+    if rule:
+        m.normalizer_spec.ParseFromString(model_pb2.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()).normalizer_spec.SerializeToString())
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = True, squeeze
+    for piece, t in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        m.pieces.add(piece=piece, score=0, type=t)
+    if fallback:
+        for b in range(256):
+            m.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    letters = list("abcde▁é.1")
+    strings = list(letters)
+    while len(strings) < 90:  # every piece is two pieces joined, as merges make them
+        x = rng.choice(strings) + rng.choice(strings)
+        if x not in strings and "▁" not in x[1:] and len(x) < 8:
+            strings.append(x)
+    for i, x in enumerate(strings):
+        m.pieces.add(piece=x, score=-float(i) if kind == "bpe" else -rng.random() * 3 * len(x), type=1)
+    blob = m.SerializeToString()
+    lib, mine = sentencepiece.SentencePieceProcessor(model_proto=blob), sp_fst.PieceTransducer(blob)
+    texts_ = ["", " ", "a", "  ab  cd ", "ABC ﬁ ① ½ é", "日本 a", "xyz", "e\u0301 \u3000a", "a\tb\n c"] + ["".join(rng.choice("abcdeé.1  zA") for _ in range(rng.randrange(40))) for _ in range(400)]
+    for t in texts_:
+        assert mine.encode(t) == lib.encode(t), (t, mine.normalise(t))
