@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vinculo.llm.texts import map_batches
 
 #: Remembered units, and arc weights between pieces, per Python worker.
-CACHE_UNITS, CACHE_ARCS = 300_000, 1_000_000
+CACHE_UNITS, CACHE_ARCS = 200_000, 400_000
 SPACE = "▁"
 #: Fixed values of the model format: kinds of models and pieces, and what an unknown character costs beyond the worst piece.
 UNIGRAM, BPE = 1, 2

@@ -33,7 +33,7 @@ MAX_NEGATIVES = 100_000
 MAX_PHRASES = 60
 LANDMARKS = 192
 SPAN, DECAY, WIDTH = 6, 0.5, 24
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Kernel value from which a word is taken as a spelling of a phrase's word.
 ALIKE = 0.5
 
@@ -128,8 +128,8 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
     table = np.zeros((len(others), len(known)), dtype=np.float32)
     np.add.at(table, (owner[r], np.searchsorted(known, f)), v)
     out = np.zeros((len(words), len(others)), dtype=np.float32)
-    for lo in range(0, len(words), 1000):
-        r, f, v, owner = features(words[lo : lo + 1000])
+    for lo in range(0, len(words), 500):
+        r, f, v, owner = features(words[lo : lo + 500])
         at = np.minimum(np.searchsorted(known, f), len(known) - 1)
         hit = known[at] == f
         dense = np.zeros((len(owner), len(known)), dtype=np.float32)
@@ -155,8 +155,8 @@ class ToxicModel:
     def margins(self, windows: list[str]) -> np.ndarray:
         """SVM margin of each window: sum over landmarks of coefficient times kernel, plus offset."""
         out = np.full(len(windows), self.offset, dtype=np.float64)
-        for lo in range(0, len(windows), 2000):
-            part = windows[lo : lo + 2000]
+        for lo in range(0, len(windows), 1000):
+            part = windows[lo : lo + 1000]
             r, f, v, owner = features(part)
             each = np.bincount(r, weights=v * self.weights[f], minlength=len(owner)) + self.offset
             best = np.full(len(part), -np.inf)
@@ -261,23 +261,34 @@ def _nystroem(landmarks: list[str], words: list[str]) -> tuple[np.ndarray, np.nd
 
 
 def _windows(bags: list[tuple[list[str], int]]) -> tuple[list[list[str]], list[list[str]]]:
-    """The windows of the toxic and of the clean documents: all words, and the two-word windows that three or more toxic documents hold."""
-    both: list[list[list[str]]] = [[], []]
-    pairs: list[list[set[str]]] = [[], []]
+    """The windows of the toxic and of the clean documents: all words, and the two-word windows that three or more toxic documents hold.
+
+    Equal words are one object, and two-word windows are counted in a table of hashes before they are held.
+    """
+    same: dict[str, str] = {}
+    slots = np.zeros(PAIR_SLOTS, dtype=np.uint16)
+    split: tuple[list[list[str]], list[list[str]]] = ([], [])
+    for parts, label in bags:
+        split[label == 1].append(parts)
+    each = lambda parts: {(a, b) for p in parts for a, b in couples(p) if a.isalpha() and b.isalpha()}
+    for parts in split[1]:
+        at = np.fromiter({hash(c) & (PAIR_SLOTS - 1) for c in each(parts)}, dtype=np.int64)
+        slots[at] = np.minimum(slots[at], 60_000) + 1
     often: Counter[str] = Counter()
-    for y in (1, 0):
-        for parts, label in bags:
-            if (label == 1) == (y == 1):
-                words = sorted(set().union(*map(units, parts)))
-                both[y].append(words)
-                found = {f"{a} {b}" for p in parts for a, b in couples(p) if a.isalpha() and b.isalpha()}
-                if y:
-                    often.update(found)
-                pairs[y].append(found if y else {p for p in found if often[p] >= 3})
-    for y in (1, 0):
-        for words, found in zip(both[y], pairs[y], strict=True):
-            words += sorted(p for p in found if often[p] >= 3)
-    return both[1], both[0]
+    for parts in split[1]:
+        often.update(f"{a} {b}" for a, b in each(parts) if slots[hash((a, b)) & (PAIR_SLOTS - 1)] >= 3)
+    often = {p: n for p, n in often.items() if n >= 3}
+    out: tuple[list[list[str]], list[list[str]]] = ([], [])
+    for y in (0, 1):
+        for parts in split[y]:
+            words = [same.setdefault(w, w) for w in sorted(set().union(*map(units, parts)))]
+            pairs = sorted({p for a, b in each(parts) if (p := f"{a} {b}") in often})
+            out[y].append(words + [same.setdefault(p, p) for p in pairs])
+    return out[1], out[0]
+
+
+#: Counters of two-word windows in the fit (2 bytes each).
+PAIR_SLOTS = 1 << 23
 
 
 def fit_model(rows: list[tuple[str | None | list[str], int]]) -> ToxicModel:
@@ -385,7 +396,9 @@ def fit(rows: DataFrame) -> ToxicModel:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted((h, y, parts) for b in batches for h, y, parts in zip(*(b.column(c).to_pylist() for c in ("h", "y", "parts")), strict=True))
-        m = fit_model([(parts, y) for _, y, parts in held])
+        rows = [(parts, y) for _, y, parts in held]
+        held.clear()
+        m = fit_model(rows)
         yield pa.RecordBatch.from_pydict({"weights": [m.weights.tobytes()], "numbers": [[m.offset, m.slope, m.shift]], "phrases": [[" ".join(p) for p in m.phrases]]})
 
     parts = map_batches(rows.select("h", "y", "text"), short, "h long, y int, parts array<string>").repartition(1)
@@ -413,16 +426,21 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
         cache = _caches.setdefault(digest, {})
         bags = [units(t) for t in batch["text"]]
         new = list(set().union(*bags).difference(cache)) if bags else []
-        fresh = dict(zip(new, zip(m.margins(new).tolist(), m.roles(new), strict=True), strict=True))
-        get = lambda w: cache[w] if w in cache else fresh[w]
-        margins = [max((get(w)[0] for w in b), default=m.offset) for b in bags]
+        fresh = dict(zip(new, m.margins(new).tolist(), strict=True))
+        margins = [max((cache[w] if w in cache else fresh[w] for w in b), default=m.offset) for b in bags]
         if m.phrases:
+            roles = _caches.setdefault(digest + b"roles", {})
+            unknown = [w for w in set().union(*bags) if w not in roles] if bags else []
+            now = dict(zip(unknown, m.roles(unknown), strict=True))
+            of = lambda w: roles[w] if w in roles else now[w]
             for i, (t, b) in enumerate(zip(batch["text"], bags, strict=True)):
-                firsts = {w: x for w in b if (x := get(w)[1][0])}
+                firsts = {w: x for w in b if (x := of(w)[0])}
                 if firsts:
-                    seconds = {w: x for w in b if (x := get(w)[1][1])}
+                    seconds = {w: x for w in b if (x := of(w)[1])}
                     found = {f"{v} {w}" for s in sentences(t) for v, w in couples(s) if firsts.get(v, 0) & seconds.get(w, 0)}
                     margins[i] = max([margins[i], *m.margins(sorted(found)).tolist()])
+            if len(roles) < CACHE_WORDS:
+                roles.update(now)
         if len(cache) < CACHE_WORDS:
             cache.update(fresh)
         return {"id": batch["id"], "score": m.probability(np.array(margins, dtype=np.float64)).tolist()}
@@ -431,8 +449,8 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
     return map_batches(own, run, "id long, score double").select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-#: Margins and phrase roles of words per Python worker, of the model scored last.
-_caches: dict[bytes, dict[str, tuple[float, tuple[int, int]]]] = {}
+#: Margins, and phrase roles, of words per Python worker, of the model scored last.
+_caches: dict[bytes, dict[str, float | tuple[int, int]]] = {}
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
