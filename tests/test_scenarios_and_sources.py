@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from vinculo.functions.columns import company_number, region_code, sector_of, size_band, typed
+from vinculo.functions.columns import CLIENT_STATES, COMPANY_STATES, company_number, region_code, sector_of, size_band, standard_state, stress, typed
 from vinculo.functions.components import connected_components
 from vinculo.operators import acquisition, exposure, graph, quality, scenarios, scoring
 from vinculo.sources import readers, sinks
@@ -134,9 +134,49 @@ def test_unknown_relation_types_are_kept_as_rejects(spark):
 
 
 def test_column_functions(spark):
-    df = spark.createDataFrame([("MX-NLE", "A-1", "uno banco industrial", 10), (None, "A-B-7", None, 251)], "r string, ref string, name string, n int")
+    df = spark.createDataFrame([("MX-NLE", "A-1", "uno bimbo fondo", 10), (None, "A-B-7", None, 251)], "r string, ref string, name string, n int")
     rows = df.select(region_code(F.col("r")).alias("r"), company_number(F.col("ref")).alias("ref"), sector_of(F.col("name")).alias("a"), sector_of(F.col("name"), F.lit("Z"), last=True).alias("b"), size_band(F.col("n")).alias("n")).collect()
-    assert [tuple(r) for r in rows] == [("NLE", "A-1", "FINANCIERO", "MANUFACTURA", "MICRO"), ("CMX", "7", "SERVICIOS", "Z", "GRANDE")]
+    assert [tuple(r) for r in rows] == [("NLE", "A-1", "MANUFACTURA", "SERVICIOS", "MICRO"), ("CMX", "7", "SERVICIOS", "Z", "GRANDE")]
+
+
+def test_states_of_clients_and_companies_are_mapped_apart(spark):
+    df = spark.createDataFrame([("NL",), ("Ciudad de Mexico",), ("PUE",), (None,)], "s string")
+    got = df.select(standard_state(F.col("s"), CLIENT_STATES).alias("a"), standard_state(F.col("s"), COMPANY_STATES).alias("b")).collect()
+    assert [tuple(r) for r in got] == [("NL", "Nuevo Leon"), ("CDMX", "Ciudad de Mexico"), ("PUE", "PUE"), (None, None)]
+
+
+def test_stress_index(spark):
+    got = spark.range(1).select(stress(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("a"), stress(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("b")).first()
+    norm = (0.85**2 + 0.65**2 + 0.45**2) ** 0.5
+    assert got.a == pytest.approx(0.85 / norm) and got.b == pytest.approx((0.85 - 1.3 - 1.35) / norm)
+
+
+def test_neighbours_features_follow_outgoing_edges(spark):
+    b = spark.createDataFrame([(1, 0, 10.0, 1.0), (2, 0, 20.0, 3.0), (3, 0, 30.0, 5.0)], "borrower_id int, group_id int, balance double, stress double")
+    e = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "src int, dst int")
+    got = {r.borrower_id: (r.relationship_count, r.guaranteed_exposure, r.connected_financial_stress) for r in scoring.graph_features(b, e).collect()}
+    assert got == {1: (2, 50.0, 4.0), 2: (1, 30.0, 5.0), 3: (0, 0.0, None)}
+
+
+def test_calibration_uses_only_calibration_outcomes(spark):
+    """The test rows' outcomes do not move their calibrated scores; the calibration rows' outcomes do."""
+    rows = lambda ys: spark.createDataFrame([(i, y, (i % 10 + 1) / 12.0) for i, y in enumerate(ys)], "id int, label int, p double")
+    cal, other = rows([i % 3 == 0 for i in range(60)] and [int(i % 3 == 0) for i in range(60)]), rows([int(i % 3 != 0) for i in range(60)])
+    score = lambda c, t: [r.p_calibrated for r in scoring.calibrate(c, t).orderBy("id").collect()]
+    one = score(cal, rows([0] * 59 + [1]))
+    assert one == score(cal, rows([1] * 59 + [0])) and one != score(other, rows([0] * 59 + [1]))
+
+
+def test_experiment_tables(spark, tmp_path):
+    """Means, paired intervals and the best model, from predictions of two seeds of which one model is always right."""
+    rows = [("c", s, m, i, i // 2, i % 2, 0.1 + 0.8 * (i % 2) if m == "gbt_graph" else 0.5) for s in (1, 2) for m in ("gbt", "gbt_graph") for i in range(20)]
+    pred = spark.createDataFrame(rows, "condition string, seed int, model string, borrower_id int, group_id int, y int, p double")
+    t = scoring.experiment_tables(pred, 10)
+    sinks.write_experiment(t, str(tmp_path))
+    up = {r.metric: r for r in spark.read.parquet(f"{tmp_path}/uplift").collect()}
+    assert up["roc_auc"]["mean"] == up["roc_auc"].low == up["roc_auc"].high == 0.5 and up["brier"]["mean"] == pytest.approx(-0.24)
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/best").collect()] == [("c", "gbt_graph", 1.0)]
+    assert {(r.seed, r.model): r.roc_auc for r in spark.read.parquet(f"{tmp_path}/runs").collect()} == {(s, m): a for s in (1, 2) for m, a in (("gbt", 0.5), ("gbt_graph", 1.0))}
 
 
 def test_metrics_and_splits(spark):

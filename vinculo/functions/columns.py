@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Spellings of states and their standard form.
-STATES = {"Ciudad de Mexico": "CDMX", "CMX": "CDMX", "NL": "Nuevo Leon", "JAL": "Jalisco", "MEX": "Estado de Mexico", "QRO": "Queretaro"}
+#: Spellings of states and their standard form, of clients and of companies.
+CLIENT_STATES = {"Ciudad de Mexico": "CDMX"}
+COMPANY_STATES = {"CMX": "CDMX", "NL": "Nuevo Leon", "JAL": "Jalisco", "MEX": "Estado de Mexico", "QRO": "Queretaro"}
 #: Sector of a company by a word in its name, in order of priority.
-SECTORS = {"BANCO": "FINANCIERO", "FINANC": "FINANCIERO", "CONSTRU": "CONSTRUCCION", "INMOB": "CONSTRUCCION", "COMERCI": "COMERCIO", "TRANSPORT": "TRANSPORTE", "INDUSTR": "MANUFACTURA"}
+SECTORS = {"BBVA": "SERVICIOS", "BIMBO": "MANUFACTURA", "BARCEL": "MANUFACTURA", "RICOLINO": "MANUFACTURA", "FONDO": "SERVICIOS"}
+#: Coefficients of the stress index for leverage, interest coverage and cash buffer.
+STRESS = (0.85, -0.65, -0.45)
 
 
 def cents(money: str | Column) -> Column:
@@ -24,9 +26,10 @@ def pesos(total_cents: Column) -> Column:
     return F.coalesce(total_cents, F.lit(0)).cast("double") / F.lit(100.0)
 
 
-def standardize_state(c: Column, mapping: dict[str, str] = STATES) -> Column:
-    """The mapped spelling; what is not in the mapping passes through."""
-    return reduce(lambda out, kv: F.when(c == kv[0], kv[1]).otherwise(out), mapping.items(), c)
+def standard_state(c: Column, spellings: dict[str, str]) -> Column:
+    """The standard form of a known spelling; any other value stays."""
+    known = F.create_map(*[F.lit(x) for pair in spellings.items() for x in pair])
+    return F.coalesce(known[c], c)
 
 
 def default_label(strict: bool = False) -> Column:
@@ -92,7 +95,7 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.least(F.greatest(x, F.lit(-35.0)), F.lit(35.0))))
 
 
-def stress(leverage: Column, coverage: Column, cash: Column, coefficients: tuple[float, float, float] = (0.9, -0.7, -0.5)) -> Column:
+def stress(leverage: Column, coverage: Column, cash: Column, coefficients: tuple[float, float, float] = STRESS) -> Column:
     """Fixed linear index of financial stress, divided by the coefficients' norm."""
     norm = sum(c * c for c in coefficients) ** 0.5
     return (leverage * coefficients[0] + coverage * coefficients[1] + cash * coefficients[2]) / norm

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vinculo.functions.columns import default_label, logit
+from vinculo.functions.runtime import materialize
 
 LOAN_FEATURES = ["monto_original_mxn", "saldo_vigente_mxn", "tasa_interes_anual", "dias_mora", "nivel_ingresos", "antiguedad_cliente_meses", "score_buro", "historico_incumplimientos"]
 BORROWER_FEATURES = ["leverage", "interest_coverage", "cash_buffer"]
@@ -209,12 +210,26 @@ def summarise(metrics: DataFrame, boot: DataFrame, keys: list[str]) -> DataFrame
     return mean.join(intervals(averaged, keys), [*keys, "metric"])
 
 
-def uplift(boot: DataFrame, keys: list[str], model: str, base: str) -> DataFrame:
-    """Paired difference of two models in every seed and replicate, with its interval."""
-    side = lambda m, s: boot.where(F.col("model") == m).select("replicate", *keys, *[F.col(x).alias(f"{x}_{s}") for x in METRICS])
-    d = side(model, "a").join(side(base, "b"), ["replicate", *keys]).select("replicate", *keys, *[(F.col(f"{x}_a") - F.col(f"{x}_b")).alias(x) for x in METRICS])
-    averaged = d.groupBy("replicate").agg(*[F.mean(x).alias(x) for x in METRICS])
-    return intervals(averaged, [])
+def uplift(metrics: DataFrame, boot: DataFrame, keys: list[str], seed: str, model: str, base: str) -> DataFrame:
+    """(keys.., metric, mean, low, high): what ``model`` gains over ``base``.
+
+    The mean is the difference of the two models' means over seeds; the interval is that of the
+    paired difference in every seed and replicate, averaged over seeds.
+    """
+    side = lambda m, s: boot.where(F.col("model") == m).select("replicate", seed, *keys, *[F.col(x).alias(f"{x}_{s}") for x in METRICS])
+    d = side(model, "a").join(side(base, "b"), ["replicate", seed, *keys]).select("replicate", *keys, *[(F.col(f"{x}_a") - F.col(f"{x}_b")).alias(x) for x in METRICS])
+    averaged = d.groupBy("replicate", *keys).agg(*[F.mean(x).alias(x) for x in METRICS])
+    gain = [(F.mean(F.when(F.col("model") == model, F.col(x))) - F.mean(F.when(F.col("model") == base, F.col(x)))).alias(x) for x in METRICS]
+    mean = metrics.groupBy(*keys).agg(*gain).select(*keys, F.expr(f"stack({len(METRICS)}, {', '.join(f'{chr(39)}{m}{chr(39)}, {m}' for m in METRICS)}) as (metric, mean)"))
+    return mean.withColumn("mean", F.round("mean", 6)).join(intervals(averaged, keys), [*keys, "metric"])
+
+
+def experiment_tables(pred: DataFrame, replicates: int = 200, seed: str = "seed", model: str = "gbt_graph", base: str = "gbt") -> dict[str, DataFrame]:
+    """The result tables of an experiment by name: runs, summary, uplift and best, from ``run_sweep``'s predictions."""
+    boot = materialize(group_bootstrap(pred, ["condition", seed, "model"], replicates))
+    runs = materialize(binary_metrics(pred, ["condition", seed, "model"]))
+    summary = summarise(runs, boot, ["condition", "model"])
+    return {"runs": runs, "summary": summary, "uplift": uplift(runs, boot, ["condition"], seed, model, base), "best": best_model(summary, ["condition"])}
 
 
 def best_model(summary: DataFrame, keys: list[str]) -> DataFrame:
@@ -230,7 +245,8 @@ def run_sweep(conditions: dict[str, tuple[DataFrame, DataFrame]], seeds: list[in
     """
     out = []
     for name, (borrowers, edges) in conditions.items():
-        rows = graph_features(borrowers, edges).fillna({"connected_financial_stress": 0.0}).cache()
+        rows = graph_features(borrowers, edges).fillna({"connected_financial_stress": 0.0})
+        rows = materialize(rows)
         for seed in seeds:
             whole = rows.join(split_groups(rows, seed), "group_id")
             part = {s: whole.where(F.col("split") == s).drop("split") for s in ("train", "calibration", "test")}

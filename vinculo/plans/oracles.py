@@ -82,6 +82,12 @@ def graph(body: str) -> str:
 
 
 OPEN = "estatus IN ('ACTIVO', 'REESTRUCTURADO')"
+#: Borrowers with group and label, and the split of their groups.
+LABELLED = """b AS (SELECT o_custkey AS k, count(*) AS bad FROM orders WHERE o_orderkey % 211 <> 4 AND o_orderkey % 10 < 7 AND o_orderstatus = 'P' AND o_orderkey % 3 = 0 AND o_orderkey % 150 > 59 GROUP BY 1),
+        l AS (SELECT c_custkey // 10 AS g, CASE WHEN bad >= 2 THEN 1 ELSE 0 END AS y FROM customer LEFT JOIN b ON c_custkey = k)"""
+SPLIT = """r AS (SELECT g, row_number() OVER (ORDER BY md5('0-' || CAST(g AS VARCHAR)), g) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM l)),
+        s AS (SELECT g, CASE WHEN rn <= floor(n * 0.6) THEN 'train' WHEN rn <= floor(n * 0.8) THEN 'calibration' ELSE 'test' END AS split FROM r)"""
+
 ORACLES = {
     "portfolio_overview": graph(f"""SELECT count(*) AS loans, sum(c) {M} AS balance, round(sum(c) {M} / count(*), 6) AS mean_balance, count(*) FILTER (estatus = 'ACTIVO') AS activo, count(*) FILTER (estatus = 'PAGADO') AS pagado,
         count(*) FILTER (estatus = 'VENCIDO') AS vencido, count(*) FILTER (estatus = 'REESTRUCTURADO') AS reestructurado, round(CAST(100 AS DOUBLE) * count(*) FILTER (estatus = 'VENCIDO') / count(*), 6) AS npl_percent FROM pre"""),
@@ -151,11 +157,17 @@ ORACLES = {
     "multi_company_controllers": graph("SELECT p AS fullname, '' AS birthdate, count(*) AS company_count FROM accs GROUP BY 1 HAVING count(*) >= 2"),
     "corporate_groups": graph("SELECT e AS parent_lei, count(*) AS children, count(razon_social) AS named FROM (SELECT DISTINCT p, e FROM rel WHERE tipo = 'SUBSIDIARIA') JOIN (SELECT id_empresa FROM emp WHERE true) q ON q.id_empresa = e LEFT JOIN emp k ON k.id_empresa = p GROUP BY 1 HAVING count(razon_social) >= 3"),
     "loan_feature_balance": graph("""SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, round(avg(label), 6) AS rate FROM (SELECT CASE WHEN estatus = 'VENCIDO' THEN 1 ELSE 0 END AS label FROM pre JOIN cli ON id_titular = id_cliente WHERE tipo_titular = 'INDIVIDUAL' AND monto IS NOT NULL AND nivel_ingresos IS NOT NULL)"""),
-    "graph_features": """WITH b AS (SELECT c_custkey AS k, CAST(round(c_acctbal * 100) AS BIGINT) AS c FROM customer), e AS (SELECT k AS src, 10 * (k // 10) + (k % 10 + 1) % 10 AS dst FROM b UNION SELECT k, 10 * (k // 10) + (k % 10 + 2 + k % 7) % 10 FROM b WHERE k % 3 = 0)
-        SELECT b.k AS borrower_id, count(d.k) AS relationship_count, coalesce(sum(d.c), 0) / CAST(100 AS DOUBLE) AS guaranteed_exposure FROM b LEFT JOIN e ON b.k = e.src LEFT JOIN b d ON e.dst = d.k GROUP BY 1""",
-    "split_counts": """WITH g AS (SELECT DISTINCT c_custkey // 10 AS g FROM customer), r AS (SELECT g, row_number() OVER (ORDER BY md5('0-' || CAST(g AS VARCHAR)), g) AS rn, count(*) OVER () AS n FROM g)
-        SELECT CASE WHEN rn <= floor(n * 0.6) THEN 'train' WHEN rn <= floor(n * 0.8) THEN 'calibration' ELSE 'test' END AS split, count(*) AS borrowers, count(DISTINCT g) AS groups FROM r JOIN customer ON c_custkey // 10 = g GROUP BY 1""",
+    "graph_features": """WITH n AS (SELECT o_custkey AS k, count(*) AS loans FROM orders WHERE o_orderkey % 211 <> 4 AND o_orderkey % 10 < 7 GROUP BY 1), b AS (SELECT c_custkey AS k, CAST(round(c_acctbal * 100) AS BIGINT) AS c,
+        (0.85 * coalesce(loans, 0) / CAST(10 AS DOUBLE) - 0.65 * c_acctbal / CAST(5000 AS DOUBLE) - 0.45 * (c_custkey % 7) / CAST(7 AS DOUBLE)) / sqrt(0.85 * 0.85 + 0.65 * 0.65 + 0.45 * 0.45) AS s FROM customer LEFT JOIN n ON c_custkey = n.k),
+        e AS (SELECT k AS src, 10 * (k // 10) + (k % 10 + 1) % 10 AS dst FROM b UNION SELECT k, 10 * (k // 10) + (k % 10 + 2 + k % 7) % 10 FROM b WHERE k % 3 = 0)
+        SELECT b.k AS borrower_id, count(d.k) AS relationship_count, coalesce(sum(d.c), 0) / CAST(100 AS DOUBLE) AS guaranteed_exposure, round(avg(d.s), 6) AS connected_financial_stress FROM b LEFT JOIN e ON b.k = e.src LEFT JOIN b d ON e.dst = d.k GROUP BY 1""",
+    "split_counts": f"""WITH {LABELLED}, {SPLIT}
+        SELECT split, count(*) AS borrowers, count(DISTINCT g) AS groups, sum(y) AS positives, min(y) < max(y) AS both_classes FROM s JOIN l USING (g) GROUP BY 1""",
+    "class_balance": f"""WITH {LABELLED}, {SPLIT}
+        SELECT split, count(*) AS n, sum(y) AS positives, round(avg(y), 6) AS rate FROM s JOIN l USING (g) GROUP BY 1""",
+    "class_weight": f"""WITH {LABELLED} SELECT CASE WHEN avg(y) > 0 THEN round((1 - avg(y)) / avg(y), 6) ELSE 1.0 END AS weight FROM l""",
     "score_metrics": """WITH p AS (SELECT (c_custkey * 7919) % 97 / CAST(97 AS DOUBLE) AS s, CASE WHEN (c_custkey * 31) % 11 < 3 THEN 1 ELSE 0 END AS y FROM customer), b AS (SELECT s, sum(y) AS pos, sum(1 - y) AS neg FROM p GROUP BY 1),
         c AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp FROM b)
-        SELECT round(sum(neg * (tp - pos / CAST(2 AS DOUBLE))) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * (tp / CAST(tp + fp AS DOUBLE))) / sum(pos), 6) AS average_precision, (SELECT round(avg((s - y) * (s - y)), 6) FROM p) AS brier FROM c""",
+        SELECT round(sum(neg * (tp - pos / CAST(2 AS DOUBLE))) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * (tp / CAST(tp + fp AS DOUBLE))) / sum(pos), 6) AS average_precision, (SELECT round(avg((s - y) * (s - y)), 6) FROM p) AS brier,
+        (SELECT round(avg(-(y * ln(least(greatest(s, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(s, 1e-15), 1 - 1e-15)))), 6) FROM p) AS log_loss FROM c""",
 }

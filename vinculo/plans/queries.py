@@ -88,10 +88,13 @@ def score_rows(p: Portfolio) -> DataFrame:
     return p.table("customer").select((k * 7919 % 97 / 97.0).alias("p"), F.when(k * 31 % 11 < 3, 1).otherwise(0).alias("y"), F.expr("c_custkey div 10").alias("group_id"), F.lit("fixed").alias("model"))
 
 
+def predictions(p: Portfolio, trees: int = 10) -> DataFrame:
+    """Calibrated test predictions of the four models for one condition and seed."""
+    return materialize(scoring.run_sweep({"observed": (borrowers(p), borrower_edges(p))}, [1], trees=trees))
+
+
 def experiment(p: Portfolio) -> DataFrame:
-    """Calibrated test predictions of the four models for one condition and seed, summed up by metrics."""
-    pred = materialize(scoring.run_sweep({"observed": (borrowers(p), borrower_edges(p))}, [1], trees=10))
-    return scoring.binary_metrics(pred, ["condition", "seed", "model"])
+    return scoring.binary_metrics(predictions(p), ["condition", "seed", "model"])
 
 
 QUERIES: dict[str, Query] = {
@@ -144,13 +147,16 @@ QUERIES: dict[str, Query] = {
     "multi_company_controllers": on(controllers),
     "corporate_groups": on(corporate_groups),
     "loan_feature_balance": on(lambda p: scoring.class_balance(scoring.loan_features(p.prestamos, p.clientes))),
-    "graph_features": on(lambda p: scoring.graph_features(borrowers(p), borrower_edges(p)).select("borrower_id", "relationship_count", "guaranteed_exposure")),
-    "split_counts": on(lambda p: borrowers(p).join(scoring.split_groups(borrowers(p), 0), "group_id").groupBy("split").agg(F.count("*").alias("borrowers"), F.countDistinct("group_id").alias("groups"))),
-    "score_metrics": on(lambda p: scoring.binary_metrics(score_rows(p), []).drop("log_loss")),
+    "graph_features": on(lambda p: scoring.graph_features(borrowers(p), borrower_edges(p)).select("borrower_id", "relationship_count", "guaranteed_exposure", "connected_financial_stress")),
+    "split_counts": on(lambda p: scoring.split_counts(borrowers(p).join(scoring.split_groups(borrowers(p), 0), "group_id"))),
+    "class_balance": on(lambda p: scoring.class_balance(borrowers(p).join(scoring.split_groups(borrowers(p), 0), "group_id"), ["split"])),
+    "class_weight": on(lambda p: scoring.class_weight(borrowers(p))),
+    "score_metrics": on(lambda p: scoring.binary_metrics(score_rows(p), [])),
     "calibration_curve": on(lambda p: scoring.calibration_curve(score_rows(p), ["model"])),
     "classification_report": on(lambda p: scoring.classification_report(score_rows(p))),
     "bootstrap_intervals": on(lambda p: scoring.intervals(scoring.group_bootstrap(score_rows(p), ["model"], 50), ["model"])),
     "experiment_metrics": on(experiment),
+    "experiment_uplift": on(lambda p: scoring.experiment_tables(predictions(p, trees=5), 20)["uplift"]),
     "reach_unlimited": on(lambda p: graph.reachable(graph.guarantee_adjacency(p.garantias, p.prestamos))),
     "subgraph_stats": on(lambda p: acquisition.subgraph_stats(ties(p).select(F.col("id_individuo").alias("person_id")).distinct(), ties(p).select(F.col("id_individuo").alias("person_id"), F.col("id_empresa").alias("company_ref")))),
 }

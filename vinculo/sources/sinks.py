@@ -29,6 +29,12 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("edge_type").parquet(f"{path}/edges")
 
 
+def write_experiment(tables: dict[str, DataFrame], path: str) -> None:
+    """The result tables of an experiment, one Parquet folder each."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def append_scores(scores: DataFrame, path: str) -> None:
     """Score history, append-only by version."""
     scores.write.mode("append").partitionBy("score_version").parquet(path)
