@@ -32,6 +32,11 @@ def standard_state(c: Column, spellings: dict[str, str]) -> Column:
     return F.coalesce(known[c], c)
 
 
+def distinct_values(df: DataFrame, col: str) -> DataFrame:
+    """The distinct values of a column, in order; null is one of them."""
+    return df.select(col).distinct().orderBy(col)
+
+
 def default_label(strict: bool = False) -> Column:
     """1 for VENCIDO; strictly, only with more than 90 days past due."""
     bad = F.col("estatus") == "VENCIDO"

@@ -21,6 +21,21 @@ def multi_company_controllers(names: DataFrame, statements: DataFrame, least: in
     return out.orderBy(F.desc("company_count"), "fullname", "birthdate").limit(top) if top else out
 
 
+def find_controllers(names: DataFrame, statements: DataFrame, wanted: DataFrame | list[str], least: int = 2, top: int | None = None) -> DataFrame:
+    """``multi_company_controllers`` of the wanted names: a short list, or a table whose first column holds them."""
+    if isinstance(wanted, DataFrame):
+        some = names.join(wanted.select(F.col(wanted.columns[0]).alias("fullname")).distinct(), "fullname", "left_semi")
+    else:
+        some = names.where(F.col("fullname").isin(wanted))
+    return multi_company_controllers(some, statements, least, top)
+
+
+def append_companies(existing: DataFrame, new: DataFrame, order: list[str], width: int = 5) -> DataFrame:
+    """``existing`` and after it ``new`` with ids that go on from there; columns that ``new`` lacks are null, others are left out."""
+    rows = assign_ids(new, "EMP", order, existing, "id_empresa", width)
+    return existing.unionByName(rows.select(*[c for c in existing.columns if c in rows.columns]), allowMissingColumns=True)
+
+
 def lookup(df: DataFrame, names: DataFrame, on: str, default: str) -> DataFrame:
     """``df`` with the name of ``on`` from names(id, name), or the default."""
     return df.join(names.select(F.col("id").alias("__id"), "name"), F.col(on) == F.col("__id"), "left").withColumn("name", F.coalesce("name", F.lit(default))).drop("__id")

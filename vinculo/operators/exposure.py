@@ -92,6 +92,13 @@ def top_by_pd(pre: DataFrame, n: int = 10) -> DataFrame:
     return pre.where("probabilidad_incumplimiento is not null").orderBy(F.desc("probabilidad_incumplimiento"), "id_prestamo").limit(n).select("id_prestamo", "id_titular", "probabilidad_incumplimiento", "saldo_vigente_mxn")
 
 
+def verify_scores(pre: DataFrame, n: int = 10) -> DataFrame:
+    """The n scored loans of highest PD, ties by id, each with its version and the count of all scored loans."""
+    scored = pre.where("score_version is not null")
+    top = scored.orderBy(F.desc_nulls_last("probabilidad_incumplimiento"), "id_prestamo").limit(n)
+    return top.select("id_prestamo", "probabilidad_incumplimiento", "score_version").join(scored.agg(F.count("*").alias("scored")))  # one row
+
+
 def exposure_metrics(loans: DataFrame, by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """(by.., exposure_mxn, loans, borrowers, conflicts) over distinct loans(id, borrower_id, amount_mxn).
 

@@ -138,6 +138,31 @@ def guarantors_of(gar: DataFrame, pre: DataFrame, debtors: DataFrame | None = No
     return reachable(back, debtors, max_depth).select(F.col("start").alias("debtor"), F.col("node").alias("guarantor"), "depth")
 
 
+def guarantor_figures(gar: DataFrame, pre: DataFrame, loans: DataFrame | None = None, max_depth: int = 4) -> DataFrame:
+    """(debtor, guarantor, depth, id_prestamo, balance, pd): everyone who stands behind a loan within ``max_depth`` guarantees.
+
+    The first hop leads from the loan to its guarantors, each further one to those of a guarantor's own loans.
+    """
+    direct = guarantee_hops(gar, pre).select(F.col("id_prestamo").alias("src"), F.col("src").alias("dst"))
+    back = guarantee_adjacency(gar, pre).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    starts = loans.select("id_prestamo") if loans is not None else direct.select("src")
+    behind = reachable(direct.unionByName(back), starts, max_depth).select(F.col("start").alias("id_prestamo"), F.col("node").alias("guarantor"), "depth")
+    own = pre.select("id_prestamo", F.col("id_titular").alias("debtor"), F.col("saldo_vigente_mxn").alias("balance"), F.col("probabilidad_incumplimiento").alias("pd"))
+    return behind.join(own, "id_prestamo").where("guarantor <> debtor").select("debtor", "guarantor", "depth", "id_prestamo", "balance", "pd")
+
+
+def render_path(paths: DataFrame, nodes: DataFrame, col: str = "nodes") -> DataFrame:
+    """``paths`` with ``route``: the names, or where there is none the ids, of the nodes in ``col``, in order.
+
+    Equal paths are named once; nodes(id, name) may lack some.
+    """
+    step = paths.select(col).distinct().select(col, F.posexplode(col).alias("at", "id"))
+    names = nodes.select("id", "name").groupBy("id").agg(F.min("name").alias("name"))
+    named = step.join(names, "id", "left").select(col, F.struct("at", F.coalesce("name", "id").alias("name")).alias("x"))
+    routes = named.groupBy(col).agg(F.sort_array(F.collect_list("x"))["name"].alias("route"))
+    return paths.join(routes, col, "left").select(*paths.columns, "route")
+
+
 def related_parties(control: DataFrame, group: str = "id_empresa", member: str = "id_individuo", max_group: int = 10_000) -> DataFrame:
     """Unordered pairs of members of one group. Groups above ``max_group`` members are an error, as pairs grow with the square."""
     m = control.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g is not null and m is not null").distinct()
@@ -250,9 +275,19 @@ def risk_profile(cli: DataFrame, pre: DataFrame, gar: DataFrame, state: str | No
 
 
 def default_impact(gar: DataFrame, pre: DataFrame, persons: DataFrame | None = None, max_depth: int = 4) -> DataFrame:
-    """(person, affected, exposure): who stands behind each person within four hops, and the person's open balance."""
-    who = guarantors_of(gar, pre, persons, max_depth).groupBy(F.col("debtor").alias("person")).agg(F.countDistinct("guarantor").alias("affected"))
-    return who.join(open_balance(pre), F.col("person") == F.col("id"), "left").select("person", "affected", pesos(F.col("c")).alias("exposure"))
+    """(person, affected, exposure, affected_exposure): who stands behind each person within four hops, the person's open balance and theirs."""
+    balance = open_balance(pre).select("id", "c")
+    who = guarantors_of(gar, pre, persons, max_depth).join(balance.withColumnsRenamed({"id": "guarantor", "c": "theirs"}), "guarantor", "left")
+    who = who.groupBy(F.col("debtor").alias("person")).agg(F.countDistinct("guarantor").alias("affected"), F.sum("theirs").alias("theirs"))
+    return who.join(balance, F.col("person") == F.col("id"), "left").select("person", "affected", pesos(F.col("c")).alias("exposure"), pesos(F.col("theirs")).alias("affected_exposure"))
+
+
+def connected_exposure(rel: DataFrame, pre: DataFrame, company: str | None = None) -> DataFrame:
+    """Per company the persons with shares or a seat, and the sum of their open personal loans."""
+    ties = rel.where(F.col("tipo_relacion").isin("ACCIONISTA", "DIRECTOR")).select("id_empresa", F.col("id_individuo").alias("id")).distinct()
+    ties = ties.where(F.col("id_empresa") == company) if company else ties
+    out = ties.join(open_balance(pre), "id", "left").groupBy("id_empresa")
+    return out.agg(F.count("*").alias("persons"), F.coalesce(F.sum("n"), F.lit(0)).alias("loans"), pesos(F.sum("c")).alias("exposure"))
 
 
 def incident_edges(edges: DataFrame, node: str) -> DataFrame:
@@ -287,6 +322,12 @@ def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("component").agg(F.count("*").alias("size"), F.count_if(F.col("type") == "person").alias("persons"), F.count_if(F.col("type") == "company").alias("companies"))
 
 
+def components_by_size(sizes: DataFrame, top: int | None = None) -> DataFrame:
+    """Components from the largest down, ties by their name; with ``top`` only so many."""
+    out = sizes.orderBy(F.desc("size"), "component")
+    return out.limit(top) if top else out
+
+
 def degree_histogram(edges: DataFrame, side: str, nodes: DataFrame | None = None, limits: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
     """(bucket, n): nodes by number of distinct neighbours; 0 needs the table of all nodes."""
     other = next(c for c in edges.columns if c != side)

@@ -237,6 +237,13 @@ def best_model(summary: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by("model", F.struct("mean", "model")).alias("model"), F.max("mean").alias("average_precision"))
 
 
+def held_out_counts(borrowers: DataFrame, seeds: list[int]) -> DataFrame:
+    """(seed, positives, borrowers) of the test part under each seed's split."""
+    rows = borrowers.select("group_id", "label")
+    parts = [rows.join(split_groups(borrowers, seed).where("split = 'test'"), "group_id").withColumn("seed", F.lit(seed)) for seed in seeds]
+    return reduce(DataFrame.unionByName, parts).groupBy("seed").agg(F.sum("label").alias("positives"), F.count("*").alias("borrowers"))
+
+
 def run_sweep(conditions: dict[str, tuple[DataFrame, DataFrame]], seeds: list[int], trees: int = 30) -> DataFrame:
     """(condition, seed, model, borrower_id, group_id, y, p): calibrated test predictions of four models.
 

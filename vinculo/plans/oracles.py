@@ -143,7 +143,18 @@ ORACLES = {
     "weighted_exposure": graph("SELECT id_garante, sum(c * pct) / CAST(10000 AS DOUBLE) AS weighted_exposure, count(*) AS guarantees FROM gar JOIN pre USING (id_prestamo) WHERE activa GROUP BY 1"),
     "related_parties": graph("SELECT x.e AS id_empresa, x.p AS a, y.p AS b FROM accs x JOIN accs y ON x.e = y.e AND x.p < y.p"),
     "risk_profile": graph(f"SELECT id_cliente, nombre_completo, estado_residencia FROM cli WHERE id_cliente IN (SELECT id_titular FROM pre WHERE {OPEN} AND pd > CAST(0.5 AS DOUBLE)) AND id_cliente IN (SELECT id_garante FROM gar WHERE activa)"),
-    "default_impact": graph(f"SELECT node AS person, count(DISTINCT start) AS affected, coalesce(any_value(c), 0) {M} AS exposure FROM reach LEFT JOIN opn ON node = id GROUP BY 1"),
+    "default_impact": graph(f"SELECT node AS person, count(DISTINCT start) AS affected, coalesce(any_value(x.c), 0) {M} AS exposure, coalesce(sum(y.c), 0) {M} AS affected_exposure FROM reach LEFT JOIN opn x ON node = x.id LEFT JOIN opn y ON start = y.id GROUP BY 1"),
+    "connected_exposure": graph(f"SELECT e AS id_empresa, count(*) AS persons, CAST(coalesce(sum(n), 0) AS BIGINT) AS loans, coalesce(sum(opn.c), 0) {M} AS exposure FROM accs LEFT JOIN opn ON p = id GROUP BY 1"),
+    "guarantor_figures": graph(f"""WITH lr AS (WITH RECURSIVE t(loan, node, depth) AS (SELECT DISTINCT id_prestamo, src, 1 FROM hops UNION SELECT loan, adj.src, depth + 1 FROM t JOIN adj ON t.node = adj.dst WHERE depth < 4)
+        SELECT loan, node, min(depth) AS depth FROM t GROUP BY 1, 2) SELECT id_titular AS debtor, node AS guarantor, depth, id_prestamo, c {M} AS balance, pd FROM lr JOIN pre ON loan = id_prestamo WHERE node <> id_titular"""),
+    "cycle_routes": graph("""WITH nm AS (SELECT id_cliente AS id, nullif(trim(nombre_completo), '') AS name FROM cli UNION ALL SELECT id_empresa, nullif(trim(razon_social), '') FROM emp)
+        SELECT length, nodes, string_agg(coalesce(name, id), ' > ' ORDER BY pos) AS route FROM (SELECT length, nodes, unnest(string_split(nodes, ',')) AS id, generate_subscripts(string_split(nodes, ','), 1) AS pos FROM cyc) LEFT JOIN nm USING (id) GROUP BY 1, 2"""),
+    "client_states": graph("SELECT DISTINCT estado_residencia FROM cli"),
+    "verify_scores": graph("SELECT id_prestamo, pd AS probabilidad_incumplimiento, 'v1' AS score_version, (SELECT count(*) FROM pre) AS scored FROM pre ORDER BY pd DESC, id_prestamo LIMIT 10"),
+    "director_controllers": graph("SELECT p AS fullname, '' AS birthdate, count(*) AS company_count FROM accs WHERE p IN (SELECT p FROM rel WHERE tipo = 'DIRECTOR') GROUP BY 1 HAVING count(*) >= 2"),
+    "companies_appended": graph("SELECT id_empresa, razon_social FROM emp UNION ALL SELECT 'EMP-' || lpad(CAST((SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY n_name, n_nationkey) AS VARCHAR), 7, '0'), n_name FROM nation"),
+    "held_out_counts": f"""WITH {LABELLED}, r AS (SELECT seed, g, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(seed AS VARCHAR) || '-' || CAST(g AS VARCHAR)), g) AS rn, count(*) OVER (PARTITION BY seed) AS n
+        FROM (SELECT DISTINCT g FROM l), (SELECT unnest([0, 1, 2, 3, 4]) AS seed)) SELECT seed, sum(y) AS positives, count(*) AS borrowers FROM r JOIN l USING (g) WHERE rn > floor(n * 0.8) GROUP BY 1""",
     "correlated_entities": graph("""WITH s AS (SELECT DISTINCT e, p FROM rel WHERE tipo = 'ACCIONISTA') SELECT DISTINCT * FROM (SELECT e AS id_empresa, 'company' AS role, e AS entity FROM s UNION ALL SELECT e, 'shareholder', p FROM s
         UNION ALL SELECT e, 'loan', id_prestamo FROM (SELECT e, p AS id FROM s UNION SELECT e, e FROM s) JOIN pre ON id = id_titular UNION ALL SELECT x.e, 'guarantee', edge_id FROM s x JOIN hops ON x.p = src JOIN s y ON y.e = x.e AND y.p = dst)"""),
     "portfolio_gap": graph(f"""SELECT 'loans' AS metric, CAST(count(*) AS DOUBLE) AS value FROM pre UNION ALL SELECT 'balance', sum(c) {M} FROM pre UNION ALL SELECT 'npl_percent', round(CAST(100 AS DOUBLE) * count(*) FILTER (estatus = 'VENCIDO') / count(*), 6) FROM pre
@@ -153,6 +164,8 @@ ORACLES = {
         UNION ALL SELECT 'multi_company_controllers', count(*) FROM (SELECT p FROM accs GROUP BY 1 HAVING count(*) >= 2)"""),
     "ownership_components": graph("""SELECT component, count(*) AS size, count(*) FILTER (starts_with(id, 'CLI-')) AS persons, count(*) FILTER (starts_with(id, 'EMP-')) AS companies FROM (
         WITH RECURSIVE b AS (SELECT p AS u, e AS v FROM accs UNION SELECT e, p FROM accs), t(id, o) AS (SELECT u, u FROM b UNION SELECT t.id, b.v FROM t JOIN b ON t.o = b.u) SELECT id, min(o) AS component FROM t GROUP BY 1) GROUP BY 1"""),
+    "largest_components": graph("""SELECT component, count(*) AS size, count(*) FILTER (starts_with(id, 'CLI-')) AS persons, count(*) FILTER (starts_with(id, 'EMP-')) AS companies FROM (
+        WITH RECURSIVE b AS (SELECT p AS u, e AS v FROM accs UNION SELECT e, p FROM accs), t(id, o) AS (SELECT u, u FROM b UNION SELECT t.id, b.v FROM t JOIN b ON t.o = b.u) SELECT id, min(o) AS component FROM t GROUP BY 1) GROUP BY 1 ORDER BY size DESC, component LIMIT 10"""),
     "degree_histogram": graph("SELECT CASE WHEN d = 1 THEN '1' WHEN d = 2 THEN '2' WHEN d <= 5 THEN '3-5' ELSE '6+' END AS bucket, count(*) AS n FROM (SELECT p, count(*) AS d FROM accs GROUP BY 1) GROUP BY 1"),
     "multi_company_controllers": graph("SELECT p AS fullname, '' AS birthdate, count(*) AS company_count FROM accs GROUP BY 1 HAVING count(*) >= 2"),
     "corporate_groups": graph("SELECT e AS parent_lei, count(*) AS children, count(razon_social) AS named FROM (SELECT DISTINCT p, e FROM rel WHERE tipo = 'SUBSIDIARIA') JOIN (SELECT id_empresa FROM emp WHERE true) q ON q.id_empresa = e LEFT JOIN emp k ON k.id_empresa = p GROUP BY 1 HAVING count(razon_social) >= 3"),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vinculo.functions.columns import CLIENT_STATES, distinct_values, standard_state
 from vinculo.functions.runtime import materialize
 from vinculo.operators import acquisition, exposure, graph, quality, scoring
 from vinculo.plans.portfolio import Portfolio
@@ -52,10 +53,34 @@ def ownership_components(p: Portfolio) -> DataFrame:
     return graph.component_sizes(*graph.bipartite(rels.select("person_id"), rels))
 
 
-def controllers(p: Portfolio) -> DataFrame:
+def statements(p: Portfolio) -> tuple[DataFrame, DataFrame]:
     rows = ties(p)
     names = rows.select(F.col("id_relacion").alias("statement_id"), F.col("id_individuo").alias("fullname"))
-    return acquisition.multi_company_controllers(names, rows.select(F.col("id_relacion").alias("statement_id"), F.lit("").alias("birthdate"), F.col("id_empresa").alias("company_ref")))
+    return names, rows.select(F.col("id_relacion").alias("statement_id"), F.lit("").alias("birthdate"), F.col("id_empresa").alias("company_ref"))
+
+
+def controllers(p: Portfolio) -> DataFrame:
+    return acquisition.multi_company_controllers(*statements(p))
+
+
+def director_controllers(p: Portfolio) -> DataFrame:
+    return acquisition.find_controllers(*statements(p), p.relaciones.where("tipo_relacion = 'DIRECTOR'").select("id_individuo"))
+
+
+def cycle_routes(p: Portfolio) -> DataFrame:
+    found = graph.render_path(graph.cycles(graph.guarantee_adjacency(p.garantias, p.prestamos), 6), edges_of(p)[0])
+    return joined(found.withColumn("route", F.array_join("route", " > ")), "nodes")
+
+
+def client_states(p: Portfolio) -> DataFrame:
+    state = standard_state(F.col("estado_residencia"), CLIENT_STATES)
+    return distinct_values(p.clientes.select(state.alias("estado_residencia")), "estado_residencia")
+
+
+def companies_appended(p: Portfolio) -> DataFrame:
+    """The companies, and one more of each nation after them."""
+    new = p.table("nation").select(F.col("n_name").alias("razon_social"), "n_nationkey")
+    return acquisition.append_companies(p.empresas, new, ["razon_social", "n_nationkey"], 7).select("id_empresa", "razon_social")
 
 
 def corporate_groups(p: Portfolio) -> DataFrame:
@@ -107,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "direct_exposure": on(lambda p: exposure.direct_exposure(p.prestamos, p.clientes, 100000, 0.5)),
     "top_by_pd": on(lambda p: exposure.top_by_pd(p.prestamos)),
     "pd_by_version": on(lambda p: exposure.pd_by_version(p.prestamos).drop("median")),
+    "verify_scores": on(lambda p: exposure.verify_scores(p.prestamos)),
     "etl_audit": on(lambda p: quality.audit(etl(p))),
     "etl_audit_by_entity": on(lambda p: quality.audit_by_entity(quality.audit(etl(p)))),
     "etl_audit_by_reason": on(lambda p: quality.audit_by_reason(quality.audit(etl(p)))),
@@ -118,6 +144,7 @@ QUERIES: dict[str, Query] = {
     "load_validation": on(lambda p: quality.validate_for_load(raw_tables(p))),
     "unique_loan_key": on(lambda p: quality.unique_key(p.prestamos, "id_prestamo")),
     "over_coverage": on(lambda p: quality.over_coverage(p.garantias)),
+    "client_states": on(client_states),
     "graph_counts": on(lambda p: graph.graph_counts(*edges_of(p))),
     "guarantee_adjacency": on(lambda p: graph.guarantee_adjacency(p.garantias, p.prestamos)),
     "reach_4_hops": on(lambda p: graph.reachable(graph.guarantee_adjacency(p.garantias, p.prestamos), max_hops=4)),
@@ -125,6 +152,9 @@ QUERIES: dict[str, Query] = {
     "circular_3": on(circular_3),
     "guarantee_chain": on(lambda p: graph.guarantee_chain(p.garantias, p.prestamos)),
     "guarantors_of_debtors": on(lambda p: graph.guarantors_of(p.garantias, p.prestamos)),
+    "guarantor_figures": on(lambda p: graph.guarantor_figures(p.garantias, p.prestamos)),
+    "cycle_routes": on(cycle_routes),
+    "connected_exposure": on(lambda p: graph.connected_exposure(p.relaciones, p.prestamos)),
     "shared_controllers": on(lambda p: joined(graph.shared_controllers(shares(p)), "companies")),
     "shareholder_hubs": on(lambda p: joined(graph.shareholder_hubs(shares(p)), "shareholders")),
     "contagion_hub": on(lambda p: graph.contagion_hub(p.relaciones, p.prestamos, p.garantias)),
@@ -145,11 +175,15 @@ QUERIES: dict[str, Query] = {
     "ownership_components": on(ownership_components),
     "degree_histogram": on(lambda p: graph.degree_histogram(ties(p).select("id_individuo", "id_empresa"), "id_individuo")),
     "multi_company_controllers": on(controllers),
+    "director_controllers": on(director_controllers),
+    "companies_appended": on(companies_appended),
+    "largest_components": on(lambda p: graph.components_by_size(ownership_components(p), 10)),
     "corporate_groups": on(corporate_groups),
     "loan_feature_balance": on(lambda p: scoring.class_balance(scoring.loan_features(p.prestamos, p.clientes))),
     "graph_features": on(lambda p: scoring.graph_features(borrowers(p), borrower_edges(p)).select("borrower_id", "relationship_count", "guaranteed_exposure", "connected_financial_stress")),
     "split_counts": on(lambda p: scoring.split_counts(borrowers(p).join(scoring.split_groups(borrowers(p), 0), "group_id"))),
     "class_balance": on(lambda p: scoring.class_balance(borrowers(p).join(scoring.split_groups(borrowers(p), 0), "group_id"), ["split"])),
+    "held_out_counts": on(lambda p: scoring.held_out_counts(borrowers(p), [0, 1, 2, 3, 4])),
     "class_weight": on(lambda p: scoring.class_weight(borrowers(p))),
     "score_metrics": on(lambda p: scoring.binary_metrics(score_rows(p), [])),
     "calibration_curve": on(lambda p: scoring.calibration_curve(score_rows(p), ["model"])),
