@@ -93,7 +93,7 @@ def test_csv_and_json_sources(spark, tmp_path):
 def test_registry(spark, tmp_path):
     entity = lambda lei, name, **x: {"attributes": {"lei": lei, "entity": {"legalName": {"name": name}, "status": "ACTIVE", "legalAddress": {"country": "MX", "region": "MX-NLE"}} | x}}
     edge = lambda a, b: {"attributes": {"relationship": {"startNode": {"id": a}, "endNode": {"id": b}, "type": "IS", "status": "ACTIVE"}, "validFrom": "2020"}}
-    (tmp_path / "e.json").write_text(json.dumps({"data": [entity("A", "BANCO UNO"), entity("B", "HIJO COMERCIAL"), entity("C", "HIJO DOS"), entity("D", "HIJO BANCO INDUSTRIAL"), entity("E", "X", status="LAPSED")]}))
+    (tmp_path / "e.json").write_text(json.dumps({"data": [entity("A", "BIMBO UNO"), entity("B", "HIJO FONDO"), entity("C", "HIJO DOS"), entity("D", "HIJO BARCEL FONDO"), entity("E", "X", status="LAPSED")]}))
     (tmp_path / "r.json").write_text(json.dumps({"data": [edge("B", "A"), edge("B", "A"), edge("C", "A"), edge("D", "A"), edge("A", "Z")]}))
     e = readers.flatten_entities(readers.read_registry_pages(spark, str(tmp_path / "e.json")))
     r = readers.flatten_relationships(readers.read_registry_pages(spark, str(tmp_path / "r.json")))
@@ -101,7 +101,7 @@ def test_registry(spark, tmp_path):
     groups = acquisition.corporate_groups(r, e)
     assert [tuple(x) for x in groups.collect()] == [("A", 3, 3)]
     firms, ties = acquisition.hierarchy_layer(r, e, groups)
-    assert {x.lei: (x.id_empresa, x.sector) for x in firms.collect()} == {"A": ("EMP-00001", "FINANCIERO"), "B": ("EMP-00002", "COMERCIO"), "C": ("EMP-00003", "FINANCIERO"), "D": ("EMP-00004", "MANUFACTURA")}
+    assert {x.lei: (x.id_empresa, x.sector) for x in firms.collect()} == {"A": ("EMP-00001", "MANUFACTURA"), "B": ("EMP-00002", "SERVICIOS"), "C": ("EMP-00003", "MANUFACTURA"), "D": ("EMP-00004", "SERVICIOS")}
     assert ties.count() == 3
 
 
