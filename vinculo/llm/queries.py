@@ -8,7 +8,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculo.llm import block_names, compact_windows, decontam, html_main, minhash, pii, sharding, sp_fst, token_counts, toxicity
+from vinculo.llm import block_names, centroids, compact_windows, decontam, html_main, minhash, packing, pii, sharding, sp_fst, token_counts, toxicity, vector_codes
 
 SHARDS = 24
 #: Key of the surrogates. Without one of its own every process has a new one, so surrogates cannot be traced back.
@@ -70,9 +70,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    out = vector_codes.with_label_error(coded).withColumn("codebooks_sha256", F.lit(vector_codes.codebooks_sha256(books)))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lpt_sharding, op2_surrogates, op3_main_text, op4_repeated_passages, op5_token_counts, op6_sentencepiece,
-    op7_minmax_near_duplicates, op8_benchmark_leaks, op9_exact_duplicates, op10_toxicity)}
+    op7_minmax_near_duplicates, op8_benchmark_leaks, op9_exact_duplicates, op10_toxicity,
+    op11_packing, op12_vector_codes, op13_centroids)}
 
 ORACLES = {
     "op9_exact_duplicates": r"""
