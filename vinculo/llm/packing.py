@@ -6,7 +6,8 @@ import functools
 import json
 import os
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +18,39 @@ from pyspark.sql import functions as F
 from vinculo.functions.prefix import before_parts
 from vinculo.functions.runtime import materialize, small
 from vinculo.llm.texts import runs_of
-from vinculo.llm.token_counts import SPACE
+from vinculo.llm.token_counts import SPACE, WORD, byte_symbols
 
-#: Words per Python worker whose ids are remembered, and their greatest length.
+#: Entries of one generation of a worker's remembered words, and their greatest length.
 CACHE_WORDS, CACHE_CHARS = 200_000, 64
 #: Characters that ``str.split`` takes for white space and the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(f"[{SPACE}]+")
 
 
+class _Remembered(dict):
+    """Results of ``make`` by word. When a generation is full it becomes the old one, from which words that still occur return."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit numbers, as the library gives them.
 
-    A vocabulary with word ends drops white space and never merges across it, so there the library sees each different
-    word once and the ids of the words are joined. Texts of any other vocabulary go to the library as they are.
+    A vocabulary with word ends drops white space and never merges across it, so there texts are taken word by word. Words
+    are remembered, and so are their pre-tokens, which are fewer; the library's merges serve a pre-token that is not. Texts of any
+    other vocabulary go to the library as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -38,31 +58,36 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.by_word = bool(json.load(f)["model"].get("end_of_word_suffix"))
+            spec = json.load(f)
+        self.by_word = bool(spec["model"].get("end_of_word_suffix"))
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
         self.library = Tokenizer.from_file(path)
+        self.merge, self.symbols = self.library.model.tokenize, byte_symbols()
         self.library.no_padding()
         self.library.no_truncation()
-        self.known: dict[str, bytes] = {}
+        self.pre_tokens = _Remembered(self._pre_token)
+        self.words = _Remembered(self._word)
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _pre_token(self, text: str) -> bytes:
+        symbols = text if text.isascii() and text.isalnum() else "".join(self.symbols[b] for b in text.encode())
+        return np.array([t.id for t in self.merge(symbols)], "<u4").tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        return self.pre_tokens[word] if word.isalpha() else b"".join(map(self.pre_tokens.__getitem__, WORD.findall(word)))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_word:
-            return self._encode([text])[0]
-        words = [w for w in _SPACE.split(text) if w] if _SEPARATORS.search(text) else text.split()
-        new = list(set(words).difference(self.known))
-        self.known.update(zip(new, self._encode(new), strict=True))
-        out = b"".join(map(self.known.__getitem__, words))
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        else:
-            for w in new:
-                if len(w) > CACHE_CHARS:
-                    del self.known[w]
-        return out
+        if not self.by_word or self.special(text):
+            return self._encode(text)
+        low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final form
+        if not unicodedata.is_normalized("NFC", low):
+            return self._encode(text)
+        words = filter(None, _SPACE.split(low)) if _SEPARATORS.search(low) else low.split()
+        return b"".join(map(self.words.__getitem__, words))
 
 
 @functools.lru_cache(2)
