@@ -15,7 +15,8 @@ def nearest(vector: Column, centroids: list[list[int]]) -> Column:
     """struct(distance, cluster) of the centroid of least squared distance, the smaller number at ties."""
 
     def distance(centre: list[int]) -> Column:
-        squares = F.zip_with(vector, F.array(*[F.lit(c).cast("bigint") for c in centre]), lambda a, b: (a - b) * (a - b))
+        literal = F.expr(f"array({', '.join(f'{c}L' for c in centre)})")
+        squares = F.zip_with(vector, literal, lambda a, b: (a - b) * (a - b))
         return F.aggregate(squares, F.lit(0).cast("bigint"), lambda s, x: s + x)
 
     return F.array_min(F.array(*[F.struct(distance(c).alias("distance"), F.lit(n).alias("cluster")) for n, c in enumerate(centroids)]))
