@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vinculo.functions.prefix import ranked
+
 #: Spellings of states and their standard form, of clients and of companies.
 CLIENT_STATES = {"Ciudad de Mexico": "CDMX"}
 COMPANY_STATES = {"CMX": "CDMX", "NL": "Nuevo Leon", "JAL": "Jalisco", "MEX": "Estado de Mexico", "QRO": "Queretaro"}
@@ -72,13 +74,10 @@ def is_priority(name: Column, keywords: list[str]) -> Column:
 
 
 def assign_ids(new: DataFrame, prefix: str, order: list[str], existing: DataFrame | None = None, id_col: str = "id", width: int = 5) -> DataFrame:
-    """``new`` with ids that go on after the largest existing number, in the given order.
-
-    The numbering is a global order, so this is for additions of moderate size.
-    """
+    """``new`` with ids that go on after the largest existing number, in the given order; ranks come from range partitions."""
     top = existing.agg(F.max(F.split(id_col, "-")[1].cast("int"))).first()[0] if existing is not None else None
-    n = F.row_number().over(Window.orderBy(*order)) + (top or 0)
-    return new.withColumn(id_col, F.concat(F.lit(f"{prefix}-"), F.lpad(n.cast("string"), width, "0")))
+    rows = ranked(new.drop(id_col), order, name="__rank")
+    return rows.withColumn(id_col, F.concat(F.lit(f"{prefix}-"), F.lpad((F.col("__rank") + (top or 0)).cast("string"), width, "0"))).drop("__rank")
 
 
 def typed(df: DataFrame, schema: StructType) -> DataFrame:

@@ -14,8 +14,11 @@ FAN = 1024
 _PART_BITS = 33  # of monotonically_increasing_id
 
 
-def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
+def match(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """``a`` joined with the other columns of ``b`` where ``names`` are equal, nulls included; without names every row meets every row of ``b``."""
+    other = b.withColumnsRenamed({n: f"__{n}" for n in names})
+    on = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names], F.lit(True))
+    return a.join(other, on, how).drop(*[f"__{n}" for n in names])
 
 
 def before_parts(totals: DataFrame, part: str, value: str, keys: list[str] | None = None) -> DataFrame:
@@ -31,7 +34,7 @@ def before_parts(totals: DataFrame, part: str, value: str, keys: list[str] | Non
     runs = t.groupBy(*keys, "_run").agg(F.sum(value).alias("_sum"))
     runs = runs.select(*keys, "_run", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_earlier"))
     t = t.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return t.join(small(runs), _same(t, runs, [*keys, "_run"])).select(*[t[c] for c in totals.columns], (F.col("_earlier") + F.col("_own")).alias("before"))
+    return match(t, small(runs), [*keys, "_run"]).select(*totals.columns, (F.col("_earlier") + F.col("_own")).alias("before"))
 
 
 def _sorted(df: DataFrame, order: list[Column | str], keys: list[str]) -> DataFrame:
@@ -54,7 +57,7 @@ def ranked(df: DataFrame, order: list[Column | str], keys: list[str] | None = No
     rows = _sorted(df, order, keys)
     parts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     parts = before_parts(parts, "_part", "_n", keys)
-    return rows.join(small(parts), _same(rows, parts, [*keys, "_part"])).select(*[rows[c] for c in df.columns], (F.col("before") + F.col("_at") - F.col("_first") + 1).alias(name))
+    return match(rows, small(parts), [*keys, "_part"]).select(*df.columns, (F.col("before") + F.col("_at") - F.col("_first") + 1).alias(name))
 
 
 def running(df: DataFrame, order: list[Column | str], values: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -69,9 +72,9 @@ def running(df: DataFrame, order: list[Column | str], values: list[str], keys: l
     offsets = totals.select(*keys, "_part")
     for v in values:
         one = before_parts(totals.select(*keys, "_part", v), "_part", v, keys).withColumnRenamed("before", f"_{v}_before").drop(v)
-        offsets = offsets.join(one, _same(offsets, one, [*keys, "_part"])).select(*[offsets[c] for c in offsets.columns], f"_{v}_before")
+        offsets = match(offsets, one, [*keys, "_part"])
     out = out.select("*", *[F.sum(v).over(up).alias(f"_{v}_own") for v in values])
-    return out.join(small(offsets), _same(out, offsets, [*keys, "_part"])).select(*[out[c] for c in df.columns], *[(F.col(f"_{v}_before") + F.col(f"_{v}_own")).alias(f"{v}_upto") for v in values])
+    return match(out, small(offsets), [*keys, "_part"]).select(*df.columns, *[(F.col(f"_{v}_before") + F.col(f"_{v}_own")).alias(f"{v}_upto") for v in values])
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] | None = None, name: str = "quantiles") -> DataFrame:
@@ -84,7 +87,7 @@ def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] |
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     upto = materialize(running(counts, [value], ["_n"], keys))
     total = upto.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
-    placed = upto.join(F.broadcast(total)) if not keys else upto.join(small(total), _same(upto, total, keys)).select(*[upto[c] for c in upto.columns], "_rows")  # without keys one row
+    placed = match(upto, small(total), keys)
     at = lambda place: F.max(F.when((F.col("_n_upto") > place) & (F.col("_n_upto") - F.col("_n") <= place), F.col(value).cast("double")))
     out = []
     for share in shares:

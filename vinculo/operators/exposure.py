@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vinculo.functions.columns import cents, expected_loss, pesos
+from vinculo.functions.prefix import match, quantiles
 
 OPEN = ("ACTIVO", "REESTRUCTURADO")
 
@@ -63,9 +64,11 @@ def direct_exposure(pre: DataFrame, cli: DataFrame, min_balance: float, min_pd:
 
 
 def pd_distribution(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
-    p = F.col("probabilidad_incumplimiento")
-    return scores.groupBy(*(by or [])).agg(
-        F.count(p).alias("n"), F.round(F.mean(p), 6).alias("mean"), F.round(F.stddev(p), 6).alias("stddev"), F.min(p).alias("min"), F.percentile_approx(p, 0.5).alias("median"), F.max(p).alias("max"))
+    """(by.., n, mean, stddev, min, median, max) of the scores; the median is exact."""
+    p, by = F.col("probabilidad_incumplimiento"), by or []
+    figures = scores.groupBy(*by).agg(F.count(p).alias("n"), F.round(F.mean(p), 6).alias("mean"), F.round(F.stddev(p), 6).alias("stddev"), F.min(p).alias("min"), F.max(p).alias("max"))
+    middle = quantiles(scores, "probabilidad_incumplimiento", [0.5], by, "q")
+    return match(figures, middle, by, "left").select(*by, "n", "mean", "stddev", "min", F.col("q")[0].alias("median"), "max")
 
 
 def pd_by_version(scores: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vinculo.functions.columns import cents, pesos
 from vinculo.functions.components import connected_components
 from vinculo.functions.runtime import materialize
+from vinculo.functions.strong import contracted, strong_components
 from vinculo.operators.exposure import is_open, portfolio_overview, unsecured_active
 
 
@@ -74,29 +75,46 @@ def reachable(adj: DataFrame, starts: DataFrame | None = None, max_hops: int | N
     return out if out is not None else seen.where("depth > 0")
 
 
-def cycles(adj: DataFrame, max_len: int = 6, budget: int = 50_000_000) -> DataFrame:
-    """(length, nodes): directed simple cycles of 2 to ``max_len`` nodes, each once, from its smallest node.
+def _segments(adj: DataFrame) -> DataFrame:
+    """(src, dst, inner): the edges of ``adj`` with runs of nodes without a choice as one edge, whose nodes are ``inner``."""
+    short, inner = contracted(adj)
+    nodes = inner.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("place", "node")))["node"].alias("inner"))
+    return short.join(nodes, "head", "left").select("src", "dst", F.coalesce("inner", F.array().cast("array<string>")).alias("inner"))
 
-    Nodes without an edge in or out are trimmed first, in TRIMS rounds. Paths grow only to nodes above their root,
-    which gives each cycle one rotation. More than ``budget`` open paths is an error.
+
+def cycles(adj: DataFrame, max_len: int | None = None) -> DataFrame:
+    """(length, nodes): directed simple cycles of 2 or more nodes, at most ``max_len`` if given, each once, from its smallest node.
+
+    Without a bound only edges inside a strongly connected component are followed, and runs of nodes without a choice are one
+    step, so a ring of any size is found at once and paths grow by branching nodes alone. With a bound nodes that no cycle
+    can hold are trimmed, in TRIMS rounds. Paths grow only to nodes above their root, which gives each cycle one rotation.
+    The number of cycles can itself grow exponentially with a dense component; bound the length there. Ids are text.
     """
     adj = materialize(adj.where("src <> dst").select("src", "dst").distinct())
-    for _ in range(TRIMS):  # written each time: a plan that reads itself twice a round would double with each
-        both = adj.select(F.col("src").alias("n")).distinct().join(adj.select(F.col("dst").alias("n")).distinct(), "n", "left_semi")
-        adj = materialize(adj.join(both.select(F.col("n").alias("src")), "src", "left_semi").join(both.select(F.col("n").alias("dst")), "dst", "left_semi").select("src", "dst"))
-    paths = adj.where("dst > src").select(F.col("src").alias("root"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes"))
-    found = None
-    for length in range(2, max_len + 1):
-        closed = paths.join(adj.select(F.col("src").alias("last"), F.col("dst").alias("root")), ["last", "root"], "left_semi").select(F.lit(length).alias("length"), "nodes")
-        found = closed if found is None else found.unionByName(closed)
-        if length < max_len:
-            grown = paths.join(adj, paths.last == adj.src).where((F.col("dst") > F.col("root")) & ~F.array_contains("nodes", F.col("dst")))
-            paths = materialize(grown.select("root", F.col("dst").alias("last"), F.concat("nodes", F.array("dst")).alias("nodes")))
-            if (n := paths.count()) > budget:
-                raise RuntimeError(f"{n} open paths of {length + 1} nodes; the budget is {budget}")
-            if not n:
-                break
-    return found
+    if max_len is None:
+        member = strong_components(adj)
+        a, b = member.toDF("src", "c"), member.toDF("dst", "d")
+        steps = materialize(_segments(materialize(adj.join(a, "src").join(b, "dst").where("c = d").select("src", "dst"))))
+    else:
+        for _ in range(TRIMS):  # written each time: a plan that reads itself twice a round would double with each
+            both = adj.select(F.col("src").alias("n")).distinct().join(adj.select(F.col("dst").alias("n")).distinct(), "n", "left_semi")
+            adj = materialize(adj.join(both.select(F.col("n").alias("src")), "src", "left_semi").join(both.select(F.col("n").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        steps = adj.select("src", "dst", F.array().cast("array<string>").alias("inner"))
+    found = steps.where("src = dst").select(F.concat(F.array("src"), "inner").alias("nodes"))
+    step = steps.select(F.col("src").alias("last"), "dst", "inner")
+    paths = steps.where("dst > src").select(F.col("src").alias("root"), F.col("dst").alias("last"), F.array("src", "dst").alias("turns"), F.concat(F.array("src"), "inner", F.array("dst")).alias("nodes"))
+    while True:
+        grown = paths.join(step, "last").where((F.col("dst") == F.col("root")) | ((F.col("dst") > F.col("root")) & ~F.array_contains("turns", F.col("dst"))))
+        shut = F.col("dst") == F.col("root")
+        grown = grown.select("root", F.col("dst").alias("last"), F.array_append("turns", F.col("dst")).alias("turns"), F.when(shut, F.concat("nodes", "inner")).otherwise(F.concat("nodes", "inner", F.array("dst"))).alias("nodes"), shut.alias("shut"))
+        grown = materialize(grown.where(F.size("nodes") <= max_len) if max_len else grown)
+        found = found.unionByName(grown.where("shut").select("nodes"))
+        paths = grown.where("not shut").drop("shut")
+        if paths.isEmpty():
+            break
+    at = F.array_position("nodes", F.array_min("nodes")).cast("int")
+    turned = F.concat(F.slice("nodes", at, F.size("nodes")), F.slice("nodes", F.lit(1), at - 1))
+    return found.select(F.size("nodes").alias("length"), turned.alias("nodes"))
 
 
 def circular_3(adj: DataFrame, balances: DataFrame | None = None) -> DataFrame:
@@ -163,12 +181,27 @@ def render_path(paths: DataFrame, nodes: DataFrame, col: str = "nodes") -> DataF
     return paths.join(routes, col, "left").select(*paths.columns, "route")
 
 
-def related_parties(control: DataFrame, group: str = "id_empresa", member: str = "id_individuo", max_group: int = 10_000) -> DataFrame:
-    """Unordered pairs of members of one group. Groups above ``max_group`` members are an error, as pairs grow with the square."""
+def related_parties(control: DataFrame, group: str = "id_empresa", member: str = "id_individuo", tile: int = 1000) -> DataFrame:
+    """Unordered pairs of members of one group, whatever its size.
+
+    Members are dealt into tiles of about ``tile`` by hash, and pairs of tiles are joined, each pair of tiles once, so a
+    group of n members is n squared over tile squared tasks' work and no task meets more than two tiles. The pairs themselves
+    grow with the square; ``party_counts`` gives their number without them.
+    """
     m = control.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g is not null and m is not null").distinct()
-    if not m.groupBy("g").count().where(F.col("count") > max_group).isEmpty():
-        raise ValueError(f"a group has more than {max_group} members")
-    return m.toDF("g", "a").join(m.toDF("g", "b"), "g").where("a < b").select(F.col("g").alias(group), "a", "b")
+    tiles = m.groupBy("g").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    m = m.join(tiles, "g").withColumn("t", F.pmod(F.xxhash64("m"), F.col("tiles")).cast("int"))
+    # tile t meets the tiles from t on: as the row tile it goes to (t, t), (t, t + 1), .., as the column tile to (0, t), .., (t, t)
+    left = m.select("g", F.col("m").alias("x"), F.col("t").alias("row"), F.explode(F.sequence("t", F.col("tiles") - 1)).alias("col"))
+    right = m.select("g", F.col("m").alias("y"), F.explode(F.sequence(F.lit(0), F.col("t"))).alias("row"), F.col("t").alias("col"))
+    pairs = left.join(right, ["g", "row", "col"]).where("row < col or x < y")
+    return pairs.select(F.col("g").alias(group), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def party_counts(control: DataFrame, group: str = "id_empresa", member: str = "id_individuo") -> DataFrame:
+    """(group, members, pairs): the members of each group and the number of their unordered pairs; with the membership it says all pairs."""
+    m = control.where(F.col(group).isNotNull() & F.col(member).isNotNull()).groupBy(group).agg(F.countDistinct(member).alias("members"))
+    return m.withColumn("pairs", F.expr("members * (members - 1) div 2"))
 
 
 def open_balance(pre: DataFrame) -> DataFrame:
@@ -290,10 +323,16 @@ def connected_exposure(rel: DataFrame, pre: DataFrame, company: str | None = Non
     return out.agg(F.count("*").alias("persons"), F.coalesce(F.sum("n"), F.lit(0)).alias("loans"), pesos(F.sum("c")).alias("exposure"))
 
 
-def incident_edges(edges: DataFrame, node: str) -> DataFrame:
-    """Edges at a node, both directions, with the other end."""
-    out = edges.where(F.col("src") == node).select(F.lit("out").alias("direction"), "edge_type", F.col("dst").alias("other"))
-    return out.unionByName(edges.where(F.col("dst") == node).select(F.lit("in").alias("direction"), "edge_type", F.col("src").alias("other")))
+def incident_edges(edges: DataFrame, nodes: DataFrame | str) -> DataFrame:
+    """(node, direction, edge_type, other): edges at a node, or at each of a table of nodes, in both directions; a loop is listed twice."""
+    ids = edges.sparkSession.createDataFrame([(nodes,)], "node string") if isinstance(nodes, str) else nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    side = lambda near, far, name: edges.join(ids, F.col(near) == F.col("node")).select("node", F.lit(name).alias("direction"), "edge_type", F.col(far).alias("other"))
+    return side("src", "dst", "out").unionByName(side("dst", "src", "in"))
+
+
+def has_pattern(rows: DataFrame) -> bool:
+    """Whether a pattern occurs at all; stops at its first row."""
+    return not rows.isEmpty()
 
 
 def portfolio_gap(pre: DataFrame, gar: DataFrame, rel: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vinculo.functions.columns import default_label, logit
-from vinculo.functions.runtime import materialize
+from vinculo.functions.prefix import quantiles, ranked, running
+from vinculo.functions.runtime import materialize, small
 
 LOAN_FEATURES = ["monto_original_mxn", "saldo_vigente_mxn", "tasa_interes_anual", "dias_mora", "nivel_ingresos", "antiguedad_cliente_meses", "score_buro", "historico_incumplimientos"]
 BORROWER_FEATURES = ["leverage", "interest_coverage", "cash_buffer"]
@@ -42,20 +43,26 @@ def split_rows(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 def split_groups(groups: DataFrame, seed: int, group: str = "group_id") -> DataFrame:
     """(group, split): whole groups, in md5 order of seed and group, cut at int(0.6 n) and int(0.8 n)."""
-    g = groups.select(group).distinct()
-    n = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(group).cast("string"))), group))
-    return g.select(group, rank.alias("rn"), n.alias("n")).select(group, F.when(F.col("rn") <= F.floor(F.col("n") * 0.6), "train").when(F.col("rn") <= F.floor(F.col("n") * 0.8), "calibration").otherwise("test").alias("split"))
+    return split_by_seeds(groups, [seed], group).drop("seed")
+
+
+def split_by_seeds(groups: DataFrame, seeds: list[int], group: str = "group_id") -> DataFrame:
+    """(seed, group, split) of ``split_groups`` for all ``seeds`` at once; ranks come from range partitions."""
+    g = groups.select(group).distinct().withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    g = g.withColumn("_order", F.md5(F.concat(F.col("seed").cast("string"), F.lit("-"), F.col(group).cast("string"))))
+    g = ranked(g, ["_order", group], ["seed"], "rn")
+    n = g.groupBy("seed").agg(F.count("*").alias("n"))
+    share = lambda q: F.floor(F.col("n") * q)
+    return g.join(F.broadcast(n), "seed").select("seed", group, F.when(F.col("rn") <= share(0.6), "train").when(F.col("rn") <= share(0.8), "calibration").otherwise("test").alias("split"))  # one row a seed
 
 
 def split_membership(borrowers: DataFrame, seeds: list[int]) -> DataFrame:
     """(seed, borrower_id, group_id, split) for each seed."""
-    parts = [borrowers.select("borrower_id", "group_id").join(split_groups(borrowers, s), "group_id").select(F.lit(s).alias("seed"), "borrower_id", "group_id", "split") for s in seeds]
-    return reduce(DataFrame.unionByName, parts)
+    return borrowers.select("borrower_id", "group_id").join(split_by_seeds(borrowers, seeds), "group_id").select("seed", "borrower_id", "group_id", "split")
 
 
-def split_counts(members: DataFrame, label: str = "label") -> DataFrame:
-    return members.groupBy("split").agg(F.count("*").alias("borrowers"), F.countDistinct("group_id").alias("groups"), F.sum(label).alias("positives"), (F.min(label) < F.max(label)).alias("both_classes"))
+def split_counts(members: DataFrame, label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
+    return members.groupBy(*by, "split").agg(F.count("*").alias("borrowers"), F.countDistinct("group_id").alias("groups"), F.sum(label).alias("positives"), (F.min(label) < F.max(label)).alias("both_classes"))
 
 
 def class_balance(df: DataFrame, by: list[str] | None = None, label: str = "label") -> DataFrame:
@@ -81,9 +88,12 @@ def feature_names(graph: bool) -> list[str]:
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str = "label") -> PipelineModel:
-    """Logistic regression on features standardised with the training rows' figures."""
+    """Logistic regression with a unit L2 penalty on features standardised with the training rows' figures.
+
+    The scaler divides by the sample deviation; (n - 1) / n takes the penalty to that of the population deviation.
+    """
     n = max(train.count(), 1)
-    lr = LogisticRegression(featuresCol="scaled", labelCol=label, regParam=1.0 / n, standardization=False)
+    lr = LogisticRegression(featuresCol="scaled", labelCol=label, regParam=max(n - 1, 1) / n**2, standardization=False, tol=1e-9, maxIter=1000)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), lr]).fit(train)
 
 
@@ -128,18 +138,22 @@ def score_all(rows: DataFrame, version: str, date: str, model: str, key: str = "
     return rows.select(key, F.col(p).alias("probabilidad_incumplimiento"), F.lit(version).alias("score_version"), F.lit(date).alias("score_fecha"), F.lit(model).alias("model_name"))
 
 
+def _loss(y: str, p: str) -> tuple[Column, Column]:
+    """Squared error and log loss of a row."""
+    q = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
+    return (F.col(p) - F.col(y)) ** 2, -(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))
+
+
 def binary_metrics(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
     """(keys.., roc_auc, average_precision, brier, log_loss), rows weighted if asked.
 
-    Rows are first summed by distinct score, so ties are exact and the cumulative windows, one per
-    key, see scores and not rows.
+    Rows are first summed by distinct score, so ties are exact; the sums of higher scores are prefix sums over range
+    partitions, so one key with very many scores is not one task. Without rows there is no result row, but one without keys.
     """
     w = F.col(weight) if weight else F.lit(1)
-    q = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
-    by = pred.groupBy(*keys, F.col(p).alias("score")).agg(
-        F.sum(w * F.col(y)).alias("pos"), F.sum(w * (1 - F.col(y))).alias("neg"), F.sum(w * (F.col(p) - F.col(y)) ** 2).alias("sq"), F.sum(-w * (F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))).alias("ll"))
-    up = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    c = by.withColumn("tp", F.sum("pos").over(up)).withColumn("fp", F.sum("neg").over(up))
+    sq, ll = _loss(y, p)
+    by = pred.groupBy(*keys, (-F.col(p)).alias("down")).agg(F.sum(w * F.col(y)).alias("pos"), F.sum(w * (1 - F.col(y))).alias("neg"), F.sum(w * sq).alias("sq"), F.sum(w * ll).alias("ll"))
+    c = running(by, ["down"], ["pos", "neg"], keys).withColumnsRenamed({"pos_upto": "tp", "neg_upto": "fp"})
     pos, neg = F.sum("pos"), F.sum("neg")
     # within a score, half of the pairs of a positive and a negative count
     pairs = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
@@ -162,34 +176,70 @@ def classification_report(pred: DataFrame, y: str = "y", p: str = "p", cut: floa
 
 def calibration_curve(pred: DataFrame, keys: list[str], bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
     """(keys.., bin, n, mean_score, event_rate) over quantile bins; empty bins do not appear."""
-    edges = pred.groupBy(*keys).agg(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
-    rows = pred.join(edges, keys) if keys else pred.crossJoin(F.broadcast(edges))  # one row of edges
+    edges = quantiles(pred, p, [i / bins for i in range(1, bins)], keys, "edges")
+    rows = pred.join(small(edges), keys) if keys else pred.crossJoin(F.broadcast(edges))  # one row of edges
     which = F.size(F.filter("edges", lambda e: e < F.col(p)))
     return rows.groupBy(*keys, which.alias("bin")).agg(F.count("*").alias("n"), F.round(F.mean(p), 6).alias("mean_score"), F.round(F.mean(y), 6).alias("event_rate"))
 
 
-def group_bootstrap(pred: DataFrame, keys: list[str], replicates: int, seed: int = 0, y: str = "y", p: str = "p", group: str = "group_id") -> DataFrame:
-    """(replicate, keys.., metrics): groups drawn with replacement, the same draws for every key.
+#: Draws of a run are tried up to so many times the replicates asked for.
+ATTEMPTS = 20
+
+
+def _draws(counts: DataFrame, run: list[str], first: int, last: int, seed: int) -> DataFrame:
+    """(run.., attempt, i, w): how often attempts first..last - 1 draw group i of a run with n groups; counts(run.., n)."""
+    share = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in run], "attempt", "j")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    each = counts.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last - 1)))).repartition(*run, "attempt")
+    drawn = each.select(*run, "n", "attempt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
+    return drawn.select(*run, "attempt", F.floor(share * F.col("n")).alias("i")).groupBy(*run, "attempt", "i").agg(F.count("*").alias("w"))
 
-    Draw j of a replicate takes the group of an md5 rank; draws with one class are passed over,
-    in up to twenty times as many attempts, and it is an error if too few remain.
+
+def group_bootstrap(pred: DataFrame, keys: list[str], replicates: int, seed: int = 0, y: str = "y", p: str = "p", group: str = "group_id", model: str = "model") -> DataFrame:
+    """(replicate, keys.., metrics): a run's groups drawn with replacement, the same draws for every model of the run.
+
+    A run is what ``keys`` tell apart besides ``model``. It draws as often as it has groups of its own; draw j of an attempt
+    takes the group at an md5 share of them. Attempts whose rows hold one class are passed over; attempts are made only as
+    runs still need them, at most ATTEMPTS times ``replicates``, and it is an error if a run has too few. Replicates are
+    numbered from 0 in every run. Squared error and log loss are sums over groups; ranks use weighted scores. Group ids
+    are not null.
     """
-    spark = pred.sparkSession
-    groups = pred.select(group).distinct().withColumn("i", F.row_number().over(Window.orderBy(group)) - 1)
-    n = groups.count()
-    if not n:
+    run = [k for k in keys if k != model]
+    own = pred.groupBy(*run, group).agg(F.max(F.col(y).cast("int")).alias("pos"), F.max(1 - F.col(y).cast("int")).alias("neg"))
+    groups = materialize(ranked(own, [group], run, "i").withColumn("i", F.col("i") - 1))
+    counts = materialize(groups.groupBy(*run).agg(F.count("*").alias("n")))
+    if counts.isEmpty():
         raise ValueError("no groups to draw from")
-    first = pred.select(*keys).distinct().orderBy(*keys).limit(1)
-    classes = pred.join(F.broadcast(first), keys, "left_semi").groupBy(group).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    share = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "attempt", "j")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    draws = spark.range(replicates * 20).withColumnRenamed("id", "attempt").select("attempt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    weights = draws.select("attempt", F.floor(share * n).alias("i")).groupBy("attempt", "i").agg(F.count("*").alias("w")).join(groups, "i").select("attempt", group, "w")
-    good = weights.join(classes, group).groupBy("attempt").agg(F.sum(F.col("w") * F.col("pos")).alias("a"), F.sum(F.col("w") * F.col("neg")).alias("b")).where("a > 0 and b > 0")
-    good = good.orderBy("attempt").limit(replicates).select("attempt").cache()
-    if good.count() < replicates:
+    weights, lacking, first, size = None, counts, 0, replicates
+    while first < replicates * ATTEMPTS:
+        last = min(first + size, replicates * ATTEMPTS)
+        drawn = _draws(lacking, run, first, last, seed).join(groups, [*run, "i"])
+        both = (F.max("pos").over(Window.partitionBy(*run, "attempt")) > 0) & (F.max("neg").over(Window.partitionBy(*run, "attempt")) > 0)
+        drawn = materialize(drawn.withColumn("both", both).where("both").select(*run, "attempt", group, "w"))
+        weights = drawn if weights is None else weights.unionByName(drawn)
+        have = weights.groupBy(*run).agg(F.countDistinct("attempt").alias("have"))
+        left = counts.join(have, run, "left") if run else counts.join(have)
+        lacking = materialize(left.where(F.coalesce("have", F.lit(0)) < replicates).select(*run, "n"))
+        if lacking.isEmpty():
+            break
+        first, size = last, size * 2
+    else:
         raise ValueError("too few draws hold both classes")
-    rows = pred.join(weights.join(good, "attempt", "left_semi"), group)
-    return binary_metrics(rows, ["attempt", *keys], y, p, "w").withColumnRenamed("attempt", "replicate")
+    number = F.row_number().over(Window.partitionBy(*run).orderBy("attempt")) - 1  # at most ATTEMPTS x replicates rows a run
+    taken = weights.select(*run, "attempt").distinct().withColumn("replicate", number).where(F.col("replicate") < replicates)
+    weights = weights.join(taken, [*run, "attempt"]).select(*run, "replicate", group, "w")
+    sq, ll = _loss(y, p)
+    sums = pred.groupBy(*keys, group).agg(F.count("*").alias("n"), F.sum(sq).alias("sq"), F.sum(ll).alias("ll")).join(weights, [*run, group])
+    total = F.sum(F.col("w") * F.col("n"))
+    added = sums.groupBy("replicate", *keys).agg(F.round(F.sum(F.col("w") * F.col("sq")) / total, 6).alias("brier"), F.round(F.sum(F.col("w") * F.col("ll")) / total, 6).alias("log_loss"))
+    scores = pred.groupBy(*keys, group, p).agg(F.sum(y).alias("pos"), F.count("*").alias("n")).join(weights, [*run, group])
+    scores = scores.groupBy("replicate", *keys, p).agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * (F.col("n") - F.col("pos"))).alias("neg"))
+    up = Window.partitionBy("replicate", *keys).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)  # a replicate of one model: the scores of a run's test rows
+    c = scores.withColumn("tp", F.sum("pos").over(up)).withColumn("all", F.sum(F.col("pos") + F.col("neg")).over(up))
+    pos, neg = F.sum("pos"), F.sum("neg")
+    ranks = c.groupBy("replicate", *keys).agg(
+        F.round(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)) / (pos * neg), 6).alias("roc_auc"),
+        F.round(F.sum(F.col("pos") * F.col("tp") / F.col("all")) / pos, 6).alias("average_precision"))
+    return ranks.join(added, ["replicate", *keys]).select("replicate", *keys, *METRICS)
 
 
 METRICS = ["roc_auc", "average_precision", "brier", "log_loss"]
@@ -198,7 +248,7 @@ METRICS = ["roc_auc", "average_precision", "brier", "log_loss"]
 def intervals(boot: DataFrame, keys: list[str]) -> DataFrame:
     """2.5 and 97.5 percentiles of each metric."""
     long = boot.select(*keys, F.expr(f"stack({len(METRICS)}, {', '.join(f'{chr(39)}{m}{chr(39)}, {m}' for m in METRICS)}) as (metric, value)"))
-    e = long.groupBy(*keys, "metric").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("e"))
+    e = long.groupBy(*keys, "metric").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("e"))  # a buffer of replicates
     return e.select(*keys, "metric", F.round(F.col("e")[0], 6).alias("low"), F.round(F.col("e")[1], 6).alias("high"))
 
 
@@ -224,12 +274,22 @@ def uplift(metrics: DataFrame, boot: DataFrame, keys: list[str], seed: str, mode
     return mean.withColumn("mean", F.round("mean", 6)).join(intervals(averaged, keys), [*keys, "metric"])
 
 
-def experiment_tables(pred: DataFrame, replicates: int = 200, seed: str = "seed", model: str = "gbt_graph", base: str = "gbt") -> dict[str, DataFrame]:
-    """The result tables of an experiment by name: runs, summary, uplift and best, from ``run_sweep``'s predictions."""
-    boot = materialize(group_bootstrap(pred, ["condition", seed, "model"], replicates))
-    runs = materialize(binary_metrics(pred, ["condition", seed, "model"]))
+def experiment_tables(pred: DataFrame, replicates: int = 200, members: DataFrame | None = None, seed: str = "seed", model: str = "gbt_graph", base: str = "gbt") -> dict[str, DataFrame]:
+    """The result tables of an experiment by name, from ``run_sweep``'s predictions and, if given, ``sweep_members``.
+
+    runs: metrics of the calibrated scores of every run and model; raw: those before calibration, if ``p_raw`` is there; curves: reliability
+    curves; intervals: 2.5 and 97.5 percentiles of each run's bootstrap; summary, uplift, best: over seeds;
+    split_counts: borrowers, groups and positives of each part of each run.
+    """
+    keys = ["condition", seed, "model"]
+    pred = materialize(pred)
+    boot = materialize(group_bootstrap(pred, keys, replicates))
+    runs = materialize(binary_metrics(pred, keys))
     summary = summarise(runs, boot, ["condition", "model"])
-    return {"runs": runs, "summary": summary, "uplift": uplift(runs, boot, ["condition"], seed, model, base), "best": best_model(summary, ["condition"])}
+    out = {"runs": runs, "curves": calibration_curve(pred, keys), "intervals": intervals(boot, keys)}
+    out |= {"raw": binary_metrics(pred, keys, p="p_raw")} if "p_raw" in pred.columns else {}
+    out |= {"summary": summary, "uplift": uplift(runs, boot, ["condition"], seed, model, base), "best": best_model(summary, ["condition"])}
+    return out | ({} if members is None else {"split_counts": split_counts(members, by=("condition", seed))})
 
 
 def best_model(summary: DataFrame, keys: list[str]) -> DataFrame:
@@ -239,30 +299,39 @@ def best_model(summary: DataFrame, keys: list[str]) -> DataFrame:
 
 def held_out_counts(borrowers: DataFrame, seeds: list[int]) -> DataFrame:
     """(seed, positives, borrowers) of the test part under each seed's split."""
-    rows = borrowers.select("group_id", "label")
-    parts = [rows.join(split_groups(borrowers, seed).where("split = 'test'"), "group_id").withColumn("seed", F.lit(seed)) for seed in seeds]
-    return reduce(DataFrame.unionByName, parts).groupBy("seed").agg(F.sum("label").alias("positives"), F.count("*").alias("borrowers"))
+    test = split_by_seeds(borrowers, seeds).where("split = 'test'")
+    return borrowers.select("group_id", "label").join(test, "group_id").groupBy("seed").agg(F.sum("label").alias("positives"), F.count("*").alias("borrowers"))
+
+
+Conditions = dict[str, tuple[DataFrame, DataFrame]]
+
+
+def sweep_members(conditions: Conditions, seeds: list[int]) -> DataFrame:
+    """(condition, seed, borrower_id, group_id, split, label): who is in which part of which run."""
+    parts = [split_membership(b, seeds).join(b.select("borrower_id", "label"), "borrower_id").withColumn("condition", F.lit(name)) for name, (b, _) in conditions.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def run_sweep(conditions: dict[str, tuple[DataFrame, DataFrame]], seeds: list[int], trees: int = 30) -> DataFrame:
-    """(condition, seed, model, borrower_id, group_id, y, p): calibrated test predictions of four models.
+def run_sweep(conditions: Conditions, seeds: list[int], trees: int = 150) -> DataFrame:
+    """(condition, seed, model, borrower_id, group_id, y, p_raw, p): test predictions of four models before and after calibration.
 
-    ``conditions`` maps a name to (borrowers with label, edges). The loop is over fits only; metrics
-    and bootstraps run once over the union.
+    ``conditions`` maps a name to (borrowers with label, edges). A part of a split with one class is an error. The
+    loop is over fits only; metrics and bootstraps run once over the union.
     """
     out = []
     for name, (borrowers, edges) in conditions.items():
-        rows = graph_features(borrowers, edges).fillna({"connected_financial_stress": 0.0})
-        rows = materialize(rows)
+        rows = materialize(graph_features(borrowers, edges).fillna({"connected_financial_stress": 0.0}))
+        splits = materialize(split_by_seeds(rows, seeds))
         for seed in seeds:
-            whole = rows.join(split_groups(rows, seed), "group_id")
+            whole = materialize(rows.join(splits.where(F.col("seed") == seed).drop("seed"), "group_id"))
+            if whole.groupBy("split").agg(F.countDistinct("label").alias("n")).where("n < 2").count():
+                raise ValueError("each part must hold both classes")
             part = {s: whole.where(F.col("split") == s).drop("split") for s in ("train", "calibration", "test")}
             rate = constant_model(part["train"])
             models = {"constant": None, "logistic": fit_logistic(part["train"], feature_names(False)), "gbt": fit_gbt(part["train"], feature_names(False), trees=trees), "gbt_graph": fit_gbt(part["train"], feature_names(True), trees=trees)}
             for model, fitted in models.items():
-                if fitted is None:
-                    pred = part["test"].withColumn("p_calibrated", F.lit(rate))
-                else:
-                    pred = calibrate(predict(fitted, part["calibration"]), predict(fitted, part["test"]))
-                out.append(pred.select(F.lit(name).alias("condition"), F.lit(seed).alias("seed"), F.lit(model).alias("model"), "borrower_id", "group_id", F.col("label").alias("y"), F.col("p_calibrated").alias("p")))
+                raw = lambda df: df.withColumn("p", F.lit(float(rate))) if fitted is None else predict(fitted, df)  # noqa: B023, E731
+                pred = calibrate(raw(part["calibration"]), raw(part["test"]))
+                pred = pred.select(F.lit(name).alias("condition"), F.lit(seed).alias("seed"), F.lit(model).alias("model"), "borrower_id", "group_id", F.col("label").alias("y"), F.col("p").alias("p_raw"), F.col("p_calibrated").alias("p"))
+                out.append(pred)
     return reduce(DataFrame.unionByName, out)

@@ -37,10 +37,10 @@ gar AS (SELECT 'GAR-' || lpad(CAST(o AS VARCHAR), 9, '0') AS id_garantia, CASE W
   ON p.id_titular = 'CLI-' || lpad(CAST(c_custkey - c_custkey % 3 + (c_custkey + 1) % 3 AS VARCHAR), 7, '0') WHERE c_custkey % 30 BETWEEN 9 AND 11),
 rel AS (SELECT * FROM (
   WITH s AS (SELECT s_suppkey AS k, greatest((SELECT count(*) FROM supplier) * 3 // 4, 1) AS m, (SELECT count(*) FROM customer) AS nc FROM supplier)
-  SELECT 'REL-A' || lpad(CAST(k AS VARCHAR), 7, '0') AS id_relacion, CASE WHEN k % 83 = 9 THEN 'CLI-9999999' ELSE 'CLI-' || lpad(CAST(k % m AS VARCHAR), 7, '0') END AS p, 'EMP-' || lpad(CAST(k AS VARCHAR), 7, '0') AS e, 'ACCIONISTA' AS tipo FROM s
-  UNION ALL SELECT 'REL-D' || lpad(CAST(k AS VARCHAR), 7, '0'), 'CLI-' || lpad(CAST((k + 1) % m AS VARCHAR), 7, '0'), 'EMP-' || lpad(CAST(k AS VARCHAR), 7, '0'), 'DIRECTOR' FROM s WHERE k % 5 = 0
-  UNION ALL SELECT 'REL-H' || lpad(CAST(10 * k + j AS VARCHAR), 8, '0'), 'CLI-' || lpad(CAST((3 * k + 20 + j) % nc AS VARCHAR), 7, '0'), 'EMP-' || lpad(CAST(k AS VARCHAR), 7, '0'), 'ACCIONISTA' FROM s, (VALUES (1), (2)) t(j) WHERE k % 10 = 1
-  UNION ALL SELECT 'REL-S' || lpad(CAST(k AS VARCHAR), 7, '0'), 'EMP-' || lpad(CAST(k AS VARCHAR), 7, '0'), CASE WHEN k % 49 = 9 THEN 'EMP-9999999' ELSE 'EMP-' || lpad(CAST(k - k % 5 AS VARCHAR), 7, '0') END, 'SUBSIDIARIA' FROM s WHERE k % 5 <> 0))"""
+  SELECT 'REL-A' || lpad(CAST(k AS VARCHAR), 7, '0') AS id_relacion, CASE WHEN k % 83 = 9 THEN 'CLI-9999999' ELSE 'CLI-' || lpad(CAST(k % m AS VARCHAR), 7, '0') END AS p, 'EMP-' || lpad(CAST(k AS VARCHAR), 7, '0') AS e, 'ACCIONISTA' AS tipo, (k % 50 + 10) / CAST(100 AS DOUBLE) AS share FROM s
+  UNION ALL SELECT 'REL-D' || lpad(CAST(k AS VARCHAR), 7, '0'), 'CLI-' || lpad(CAST((k + 1) % m AS VARCHAR), 7, '0'), 'EMP-' || lpad(CAST(k AS VARCHAR), 7, '0'), 'DIRECTOR', NULL FROM s WHERE k % 5 = 0
+  UNION ALL SELECT 'REL-H' || lpad(CAST(10 * k + j AS VARCHAR), 8, '0'), 'CLI-' || lpad(CAST((3 * k + 20 + j) % nc AS VARCHAR), 7, '0'), 'EMP-' || lpad(CAST(k AS VARCHAR), 7, '0'), 'ACCIONISTA', (k % 50 + 10) / CAST(100 AS DOUBLE) FROM s, (VALUES (1), (2)) t(j) WHERE k % 10 = 1
+  UNION ALL SELECT 'REL-S' || lpad(CAST(k AS VARCHAR), 7, '0'), 'EMP-' || lpad(CAST(k AS VARCHAR), 7, '0'), CASE WHEN k % 49 = 9 THEN 'EMP-9999999' ELSE 'EMP-' || lpad(CAST(k - k % 5 AS VARCHAR), 7, '0') END, 'SUBSIDIARIA', 1.0 FROM s WHERE k % 5 <> 0))"""
 
 ETL = r"""
 tcli AS (SELECT *, list_filter([
@@ -88,6 +88,14 @@ LABELLED = """b AS (SELECT o_custkey AS k, count(*) AS bad FROM orders WHERE o_o
 SPLIT = """r AS (SELECT g, row_number() OVER (ORDER BY md5('0-' || CAST(g AS VARCHAR)), g) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM l)),
         s AS (SELECT g, CASE WHEN rn <= floor(n * 0.6) THEN 'train' WHEN rn <= floor(n * 0.8) THEN 'calibration' ELSE 'test' END AS split FROM r)"""
 
+#: All pairs of a start and a node that paths of any length lead to, and the strongly connected components.
+EVER = """ever AS (WITH RECURSIVE t(start, node) AS (SELECT src, dst FROM adj UNION SELECT start, adj.dst FROM t JOIN adj ON t.node = adj.src) SELECT start, node FROM t WHERE start <> node),
+        ends AS (SELECT src AS node FROM adj UNION SELECT dst FROM adj),
+        scc AS (SELECT ends.node, least(ends.node, coalesce(min(y.start), ends.node)) AS component, count(y.start) + 1 AS size FROM ends LEFT JOIN ever x ON x.start = ends.node LEFT JOIN ever y ON y.start = x.node AND y.node = x.start GROUP BY 1)"""
+#: Every borrower's score and outcome of the score queries.
+SCORED = """p AS (SELECT (c_custkey * 7919) % 97 / CAST(97 AS DOUBLE) AS s, CASE WHEN (c_custkey * 31) % 11 < 3 THEN 1 ELSE 0 END AS y, c_custkey // 10 AS g FROM customer)"""
+
+
 ORACLES = {
     "portfolio_overview": graph(f"""SELECT count(*) AS loans, sum(c) {M} AS balance, round(sum(c) {M} / count(*), 6) AS mean_balance, count(*) FILTER (estatus = 'ACTIVO') AS activo, count(*) FILTER (estatus = 'PAGADO') AS pagado,
         count(*) FILTER (estatus = 'VENCIDO') AS vencido, count(*) FILTER (estatus = 'REESTRUCTURADO') AS reestructurado, round(CAST(100 AS DOUBLE) * count(*) FILTER (estatus = 'VENCIDO') / count(*), 6) AS npl_percent FROM pre"""),
@@ -98,7 +106,7 @@ ORACLES = {
     "unsecured_high_risk": graph(f"SELECT id_prestamo, id_titular, c {M} AS saldo_vigente_mxn, tasa AS tasa_interes_anual, pd AS probabilidad_incumplimiento FROM pre WHERE estatus = 'ACTIVO' AND tasa > CAST(0.30 AS DOUBLE) AND NOT EXISTS (SELECT 1 FROM gar WHERE gar.id_prestamo = pre.id_prestamo)"),
     "direct_exposure": graph(f"SELECT id_cliente, nombre_completo, id_prestamo, c {M} AS saldo_vigente_mxn, pd AS probabilidad_incumplimiento, round(pd * (c {M}), 4) AS expected_loss FROM pre JOIN cli ON id_titular = id_cliente WHERE {OPEN} AND c > 10000000 AND pd > CAST(0.5 AS DOUBLE)"),
     "top_by_pd": graph(f"SELECT id_prestamo, id_titular, pd AS probabilidad_incumplimiento, c {M} AS saldo_vigente_mxn FROM pre ORDER BY pd DESC, id_prestamo LIMIT 10"),
-    "pd_by_version": graph("SELECT 'v1' AS score_version, count(*) AS n, round(avg(pd), 6) AS mean, round(stddev(pd), 6) AS stddev, min(pd) AS min, max(pd) AS max FROM pre"),
+    "pd_by_version": graph("SELECT 'v1' AS score_version, count(*) AS n, round(avg(pd), 6) AS mean, round(stddev(pd), 6) AS stddev, min(pd) AS min, median(pd) AS median, max(pd) AS max FROM pre"),
     "etl_audit": etl("SELECT id, entity_type, array_to_string(r, ' | ') AS rejection_reasons FROM allrows WHERE len(r) > 0"),
     "etl_audit_by_entity": etl("SELECT entity_type, count(*) AS rejected FROM allrows WHERE len(r) > 0 GROUP BY 1"),
     "etl_audit_by_reason": etl("SELECT entity_type, reason, count(*) AS n FROM (SELECT entity_type, unnest(r) AS reason FROM allrows) GROUP BY 1, 2"),
@@ -132,7 +140,7 @@ ORACLES = {
     "company_loans": graph(f"SELECT id_empresa, razon_social, id_prestamo, estatus, c {M} AS saldo_vigente_mxn FROM pre JOIN emp ON id_titular = id_empresa"),
     "hub_exposure": graph(f"""WITH h AS (SELECT e FROM (SELECT DISTINCT p, e FROM rel WHERE tipo = 'ACCIONISTA') GROUP BY 1 HAVING count(*) >= 3)
         SELECT e AS id_empresa, count(DISTINCT id) AS borrowers, CAST(sum(n) AS BIGINT) AS loans, sum(c) {M} AS exposure FROM (SELECT DISTINCT e, p AS id FROM rel JOIN h USING (e) WHERE tipo = 'ACCIONISTA' UNION SELECT e, e FROM h) JOIN opn USING (id) GROUP BY 1"""),
-    "controller_holdings": graph(f"SELECT p AS id_individuo, e AS id_empresa, tipo AS tipo_relacion, id_prestamo, c {M} AS saldo_vigente_mxn FROM rel JOIN pre ON e = id_titular WHERE tipo IN ('ACCIONISTA', 'DIRECTOR') AND {OPEN}"),
+    "controller_holdings": graph(f"SELECT p AS id_individuo, e AS id_empresa, tipo AS tipo_relacion, share AS porcentaje_participacion, id_prestamo, c {M} AS saldo_vigente_mxn FROM rel JOIN pre ON e = id_titular WHERE tipo IN ('ACCIONISTA', 'DIRECTOR') AND {OPEN}"),
     "person_exposure": graph(f"SELECT id_cliente, nombre_completo, coalesce(n, 0) AS loans, coalesce(c, 0) {M} AS exposure FROM cli LEFT JOIN opn ON id_cliente = id"),
     "concentration_risk": graph(f"""SELECT f.p AS id_cliente, companies, CAST(f.n AS BIGINT) AS corporate_loans, f.c {M} AS corporate_exposure, coalesce(o.c, 0) {M} AS personal_exposure, (f.c + coalesce(o.c, 0)) {M} AS true_concentration
         FROM (SELECT p, count(*) AS companies, coalesce(sum(n), 0) AS n, coalesce(sum(c), 0) AS c FROM accs LEFT JOIN opn ON e = id GROUP BY 1 HAVING count(*) >= 2) f LEFT JOIN opn o ON f.p = o.id"""),
@@ -183,4 +191,47 @@ ORACLES = {
         c AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp FROM b)
         SELECT round(sum(neg * (tp - pos / CAST(2 AS DOUBLE))) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * (tp / CAST(tp + fp AS DOUBLE))) / sum(pos), 6) AS average_precision, (SELECT round(avg((s - y) * (s - y)), 6) FROM p) AS brier,
         (SELECT round(avg(-(y * ln(least(greatest(s, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(s, 1e-15), 1 - 1e-15)))), 6) FROM p) AS log_loss FROM c""",
+    "repeated_curps": graph("SELECT curp, count(*) AS n FROM cli GROUP BY 1 HAVING count(*) > 1"),
+    "ingest_report": etl("SELECT entity_type, count(*) AS raw, count(*) FILTER (len(r) = 0) AS clean, count(*) FILTER (len(r) > 0) AS rejected, 'PASS' AS status, CAST(sum(len(r)) AS BIGINT) AS rule_hits FROM allrows GROUP BY 1"),
+    "concentration_all": graph(f"""SELECT f.p AS id_cliente, companies, CAST(f.n AS BIGINT) AS corporate_loans, f.c {M} AS corporate_exposure, coalesce(o.c, 0) {M} AS personal_exposure, (f.c + coalesce(o.c, 0)) {M} AS true_concentration
+        FROM (SELECT p, count(*) AS companies, coalesce(sum(n), 0) AS n, coalesce(sum(c), 0) AS c FROM accs LEFT JOIN opn ON e = id GROUP BY 1) f LEFT JOIN opn o ON f.p = o.id"""),
+    "hub_edges": graph("""WITH parties AS (SELECT id_cliente AS id FROM cli UNION SELECT id_empresa FROM emp), ed AS (SELECT 'TIENE_PRESTAMO' AS edge_type, id_titular AS src, id_prestamo AS dst FROM pre WHERE id_titular IN (SELECT id FROM parties)
+        UNION ALL SELECT 'GARANTIZA', id_garante, id_prestamo FROM gar WHERE id_garante IN (SELECT id FROM parties) AND id_prestamo IN (SELECT id_prestamo FROM pre)
+        UNION ALL SELECT 'ES_' || tipo || '_DE', p, e FROM rel WHERE e IN (SELECT id_empresa FROM emp) AND p IN (SELECT id FROM parties)),
+        h AS (SELECT e AS node FROM (SELECT DISTINCT p, e FROM rel WHERE tipo = 'ACCIONISTA') GROUP BY 1 HAVING count(*) >= 3)
+        SELECT node, 'out' AS direction, edge_type, dst AS other FROM ed JOIN h ON src = node UNION ALL SELECT node, 'in', edge_type, src FROM ed JOIN h ON dst = node"""),
+    "party_counts": graph("SELECT e AS id_empresa, count(*) AS members, count(*) * (count(*) - 1) // 2 AS pairs FROM accs GROUP BY 1"),
+    "score_history": graph("""SELECT score_version, count(*) AS n, round(avg(pd), 6) AS mean, round(stddev(pd), 6) AS stddev, min(pd) AS min, median(pd) AS median, max(pd) AS max
+        FROM (SELECT 'v1' AS score_version, pd FROM pre UNION ALL SELECT 'v2', pd / 2 FROM pre WHERE estatus <> 'PAGADO') GROUP BY 1"""),
+    "not_rescored": graph("SELECT id_prestamo FROM pre WHERE estatus = 'PAGADO'"),
+    "strong_components": graph(f"WITH {EVER} SELECT node, component FROM scc"),
+    "reach_unlimited": graph(f"WITH {EVER} SELECT scc.node, component, size, (SELECT count(*) FROM ever WHERE ever.start = scc.node) AS reached FROM scc"),
+    "reach_from_hubs": graph("""WITH h AS (SELECT src FROM adj GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 10), far AS (WITH RECURSIVE t(start, node, depth) AS (SELECT src, src, 0 FROM h UNION SELECT start, adj.dst, depth + 1 FROM t JOIN adj ON t.node = adj.src WHERE depth < 300)
+        SELECT start, node, min(depth) AS depth FROM t WHERE start <> node GROUP BY 1, 2) SELECT start, node, depth FROM far"""),
+    "cycles_unbounded": graph("""WITH whole AS (SELECT DISTINCT id_garante AS src, id_titular AS dst FROM gar JOIN pre USING (id_prestamo) WHERE pct = 100), ring AS (WITH RECURSIVE t(root, node, nodes) AS (SELECT src, dst, [src, dst] FROM whole WHERE dst > src
+        UNION ALL SELECT root, whole.dst, list_append(nodes, whole.dst) FROM t JOIN whole ON t.node = whole.src WHERE whole.dst > root AND NOT list_contains(nodes, whole.dst))
+        SELECT len(nodes) AS length, array_to_string(nodes, ',') AS nodes FROM t JOIN whole ON whole.src = t.node AND whole.dst = t.root) SELECT length, nodes FROM ring"""),
+    "subgraph_stats": graph("""WITH b AS (SELECT p AS u, e AS v FROM accs UNION SELECT e, p FROM accs), cc AS (WITH RECURSIVE t(id, o) AS (SELECT u, u FROM b UNION SELECT t.id, b.v FROM t JOIN b ON t.o = b.u) SELECT id, min(o) AS component FROM t GROUP BY 1),
+        sz AS (SELECT count(*) AS n FROM cc GROUP BY component), pp AS (SELECT count(*) AS n FROM accs GROUP BY p), pf AS (SELECT count(*) AS n FROM accs GROUP BY e)
+        SELECT (SELECT count(DISTINCT p) FROM accs) AS persons, (SELECT count(DISTINCT e) FROM accs) AS companies, (SELECT count(*) FROM accs) AS edges, (SELECT count(*) FROM sz) AS components, (SELECT max(n) FROM sz) AS largest_component,
+        (SELECT count(*) FROM pp WHERE n > 1) AS multi_company_persons, (SELECT round(sum(n) / CAST(count(*) AS DOUBLE), 2) FROM pp) AS mean_companies, (SELECT max(n) FROM pp) AS max_companies,
+        (SELECT count(*) FROM pf WHERE n > 1) AS shared_companies, (SELECT round(sum(n) / CAST(count(*) AS DOUBLE), 2) FROM pf) AS mean_controllers"""),
+    "experiment_split_counts": f"""WITH {LABELLED}, r AS (SELECT seed, g, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(seed AS VARCHAR) || '-' || CAST(g AS VARCHAR)), g) AS rn, count(*) OVER (PARTITION BY seed) AS n
+        FROM (SELECT DISTINCT g FROM l), (SELECT unnest([1, 2]) AS seed)), s AS (SELECT seed, g, CASE WHEN rn <= floor(n * 0.6) THEN 'train' WHEN rn <= floor(n * 0.8) THEN 'calibration' ELSE 'test' END AS split FROM r)
+        SELECT condition, seed, split, count(*) AS borrowers, count(DISTINCT g) AS groups, sum(y) AS positives, min(y) < max(y) AS both_classes FROM s JOIN l USING (g), (SELECT unnest(['all_edges', 'ring_edges']) AS condition) GROUP BY 1, 2, 3""",
+    "calibration_curve": f"""WITH {SCORED}, e AS (SELECT quantile_cont(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM p)
+        SELECT 'fixed' AS model, CAST(len(list_filter(e, lambda x: x < s)) AS INTEGER) AS bin, count(*) AS n, round(avg(s), 6) AS mean_score, round(avg(y), 6) AS event_rate FROM p, e GROUP BY 2""",
+    "classification_report": f"""WITH {SCORED}, h AS (SELECT y, CASE WHEN s >= 0.5 THEN 1 ELSE 0 END AS h FROM p), k AS (SELECT c AS class, count(*) FILTER (y = c AND h = c) AS tp, count(*) FILTER (y <> c AND h = c) AS fp, count(*) FILTER (y = c AND h <> c) AS fn
+        FROM h, (SELECT unnest([0, 1]) AS c) GROUP BY 1), q AS (SELECT *, tp / CAST(tp + fp AS DOUBLE) AS pr, tp / CAST(tp + fn AS DOUBLE) AS re FROM k)
+        SELECT class, tp, fp, fn, round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / (pr + re), 6) AS f1, tp + fn AS support FROM q""",
+    "bootstrap_intervals": f"""WITH {SCORED}, gr AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, max(y) AS pos, max(1 - y) AS neg FROM p GROUP BY 1),
+        d AS (SELECT attempt, CAST(floor(CAST(('0x' || substr(md5('0-' || attempt || '-' || j), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) * n) AS BIGINT) AS i FROM range(1000) a(attempt), (SELECT max(n) AS n FROM gr), range((SELECT max(n) FROM gr)) b(j)),
+        w AS (SELECT attempt, g, count(*) AS w, max(max(pos)) OVER (PARTITION BY attempt) + max(max(neg)) OVER (PARTITION BY attempt) AS both FROM d JOIN gr USING (i) GROUP BY 1, 2),
+        k AS (SELECT attempt, g, w FROM w WHERE both = 2 AND attempt IN (SELECT DISTINCT attempt FROM w WHERE both = 2 ORDER BY 1 LIMIT 50)),
+        sc AS (SELECT attempt, s, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM k JOIN p USING (g) GROUP BY 1, 2),
+        c AS (SELECT *, sum(pos) OVER (PARTITION BY attempt ORDER BY s DESC) AS tp, sum(pos + neg) OVER (PARTITION BY attempt ORDER BY s DESC) AS n FROM sc),
+        m AS (SELECT attempt, round(sum(neg * (tp - pos / CAST(2 AS DOUBLE))) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * tp / CAST(n AS DOUBLE)) / sum(pos), 6) AS average_precision,
+        round(sum(pos * (1 - s) ** 2 + neg * s ** 2) / sum(pos + neg), 6) AS brier, round(sum(-pos * ln(greatest(s, 1e-15)) - neg * ln(1 - greatest(s, 1e-15))) / sum(pos + neg), 6) AS log_loss FROM c GROUP BY 1),
+        v AS (UNPIVOT m ON roc_auc, average_precision, brier, log_loss INTO NAME metric VALUE value)
+        SELECT 'fixed' AS model, metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v GROUP BY 2""",
 }

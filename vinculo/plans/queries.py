@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinculo.functions.columns import CLIENT_STATES, distinct_values, standard_state
-from vinculo.functions.runtime import materialize
+from vinculo.functions.runtime import materialize, shared_dir
+from vinculo.functions.strong import reach_counts, strong_components
 from vinculo.operators import acquisition, exposure, graph, quality, scoring
 from vinculo.plans.portfolio import Portfolio
+from vinculo.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,13 +116,45 @@ def score_rows(p: Portfolio) -> DataFrame:
     return p.table("customer").select((k * 7919 % 97 / 97.0).alias("p"), F.when(k * 31 % 11 < 3, 1).otherwise(0).alias("y"), F.expr("c_custkey div 10").alias("group_id"), F.lit("fixed").alias("model"))
 
 
-def predictions(p: Portfolio, trees: int = 10) -> DataFrame:
-    """Calibrated test predictions of the four models for one condition and seed."""
-    return materialize(scoring.run_sweep({"observed": (borrowers(p), borrower_edges(p))}, [1], trees=trees))
+def conditions(p: Portfolio) -> scoring.Conditions:
+    """The borrowers with all edges, and with those of the ring alone."""
+    rows, edges = borrowers(p), borrower_edges(p)
+    ring = edges.where((F.expr("src % 10") + 1) % 10 == F.expr("dst % 10"))
+    return {"all_edges": (rows, edges), "ring_edges": (rows, ring)}
 
 
-def experiment(p: Portfolio) -> DataFrame:
-    return scoring.binary_metrics(predictions(p), ["condition", "seed", "model"])
+SEEDS = [1, 2]
+
+
+def predictions(p: Portfolio, trees: int = 5) -> DataFrame:
+    """Test predictions of the four models for two conditions and two seeds."""
+    return materialize(scoring.run_sweep(conditions(p), SEEDS, trees=trees))
+
+
+def experiment(p: Portfolio, table: str) -> DataFrame:
+    return scoring.experiment_tables(predictions(p), 20, scoring.sweep_members(conditions(p), SEEDS))[table]
+
+
+def strong_guarantees(p: Portfolio) -> DataFrame:
+    """Who stands for whom with guarantees of a whole loan."""
+    return graph.guarantee_adjacency(p.garantias.where("cobertura_porcentaje = 1.0"), p.prestamos)
+
+
+def score_history(p: Portfolio) -> DataFrame:
+    """Scores of all loans, then a second version of those not paid off, written twice as after a failed job."""
+    first = p.prestamos.select("id_prestamo", "probabilidad_incumplimiento", "score_version", "score_fecha")
+    second = p.prestamos.where("estatus <> 'PAGADO'").select("id_prestamo", (F.col("probabilidad_incumplimiento") / 2).alias("probabilidad_incumplimiento"), F.lit("v2").alias("score_version"), "score_fecha")
+    path = f"{shared_dir(p.spark)}/vinculo-scores-{uuid.uuid4().hex}"
+    for scores in (first, second, second):
+        sinks.append_scores(scores, path)
+    return sinks.read_scores(p.spark, path, first.schema)
+
+
+def reach_from_hubs(p: Portfolio) -> DataFrame:
+    """All that the ten guarantors of most debtors stand for, at any distance."""
+    adj = graph.guarantee_adjacency(p.garantias, p.prestamos)
+    hubs = adj.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(10).select("src")
+    return graph.reachable(adj, hubs)
 
 
 QUERIES: dict[str, Query] = {
@@ -131,7 +166,7 @@ QUERIES: dict[str, Query] = {
     "unsecured_high_risk": on(lambda p: exposure.unsecured_high_risk(p.prestamos, p.garantias)),
     "direct_exposure": on(lambda p: exposure.direct_exposure(p.prestamos, p.clientes, 100000, 0.5)),
     "top_by_pd": on(lambda p: exposure.top_by_pd(p.prestamos)),
-    "pd_by_version": on(lambda p: exposure.pd_by_version(p.prestamos).drop("median")),
+    "pd_by_version": on(lambda p: exposure.pd_by_version(p.prestamos)),
     "verify_scores": on(lambda p: exposure.verify_scores(p.prestamos)),
     "etl_audit": on(lambda p: quality.audit(etl(p))),
     "etl_audit_by_entity": on(lambda p: quality.audit_by_entity(quality.audit(etl(p)))),
@@ -143,6 +178,8 @@ QUERIES: dict[str, Query] = {
     "demo_high_score": on(lambda p: quality.demo_high_score(p.clientes)),
     "load_validation": on(lambda p: quality.validate_for_load(raw_tables(p))),
     "unique_loan_key": on(lambda p: quality.unique_key(p.prestamos, "id_prestamo")),
+    "repeated_curps": on(lambda p: quality.unique_key(p.clientes, "curp")),
+    "ingest_report": on(lambda p: quality.ingest_report(etl(p)).drop("reported_at")),
     "over_coverage": on(lambda p: quality.over_coverage(p.garantias)),
     "client_states": on(client_states),
     "graph_counts": on(lambda p: graph.graph_counts(*edges_of(p))),
@@ -160,9 +197,14 @@ QUERIES: dict[str, Query] = {
     "contagion_hub": on(lambda p: graph.contagion_hub(p.relaciones, p.prestamos, p.garantias)),
     "company_loans": on(lambda p: graph.company_loans(p.prestamos, p.empresas)),
     "hub_exposure": on(lambda p: graph.hub_exposure(p.relaciones, p.prestamos)),
-    "controller_holdings": on(lambda p: graph.controller_holdings(p.relaciones, p.prestamos).drop("porcentaje_participacion")),
+    "controller_holdings": on(lambda p: graph.controller_holdings(p.relaciones, p.prestamos)),
     "person_exposure": on(lambda p: graph.person_exposure(p.clientes, p.prestamos)),
     "concentration_risk": on(lambda p: graph.concentration_risk(p.relaciones, p.prestamos)),
+    "concentration_all": on(lambda p: graph.concentration_risk(p.relaciones, p.prestamos, 1)),
+    "hub_edges": on(lambda p: graph.incident_edges(edges_of(p)[1], graph.shareholder_hubs(shares(p)).select("target"))),
+    "party_counts": on(lambda p: graph.party_counts(ties(p))),
+    "score_history": on(lambda p: exposure.pd_by_version(score_history(p))),
+    "not_rescored": on(lambda p: exposure.not_rescored(score_history(p), "v1", "v2")),
     "shared_director_loans": on(lambda p: graph.shared_director_loans(p.relaciones, p.prestamos)),
     "guaranteed_exposure": on(lambda p: graph.guaranteed_exposure(p.garantias, p.prestamos)),
     "contagion_by_guarantor": on(lambda p: graph.contagion_by_guarantor(p.garantias, p.prestamos)),
@@ -189,8 +231,13 @@ QUERIES: dict[str, Query] = {
     "calibration_curve": on(lambda p: scoring.calibration_curve(score_rows(p), ["model"])),
     "classification_report": on(lambda p: scoring.classification_report(score_rows(p))),
     "bootstrap_intervals": on(lambda p: scoring.intervals(scoring.group_bootstrap(score_rows(p), ["model"], 50), ["model"])),
-    "experiment_metrics": on(experiment),
-    "experiment_uplift": on(lambda p: scoring.experiment_tables(predictions(p, trees=5), 20)["uplift"]),
-    "reach_unlimited": on(lambda p: graph.reachable(graph.guarantee_adjacency(p.garantias, p.prestamos))),
+    "experiment_metrics": on(lambda p: scoring.binary_metrics(predictions(p), ["condition", "seed", "model"])),
+    "experiment_uplift": on(lambda p: experiment(p, "uplift")),
+    "experiment_curves": on(lambda p: scoring.calibration_curve(predictions(p), ["condition", "seed", "model"])),
+    "experiment_split_counts": on(lambda p: scoring.split_counts(scoring.sweep_members(conditions(p), SEEDS), by=("condition", "seed"))),
+    "reach_unlimited": on(lambda p: reach_counts(graph.guarantee_adjacency(p.garantias, p.prestamos))),
+    "reach_from_hubs": on(reach_from_hubs),
+    "cycles_unbounded": on(lambda p: joined(graph.cycles(strong_guarantees(p)), "nodes")),
+    "strong_components": on(lambda p: strong_components(graph.guarantee_adjacency(p.garantias, p.prestamos))),
     "subgraph_stats": on(lambda p: acquisition.subgraph_stats(ties(p).select(F.col("id_individuo").alias("person_id")).distinct(), ties(p).select(F.col("id_individuo").alias("person_id"), F.col("id_empresa").alias("company_ref")))),
 }

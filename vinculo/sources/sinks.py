@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_clean(df: DataFrame, path: str, entity: str) -> None:
@@ -35,9 +36,27 @@ def write_experiment(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def _figure(df: DataFrame) -> set[tuple]:
+    hashed = F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(20,0)"))
+    return {tuple(r) for r in df.groupBy("score_version").agg(F.count("*"), hashed).collect()}  # one row a version
+
+
 def append_scores(scores: DataFrame, path: str) -> None:
-    """Score history, append-only by version."""
-    scores.write.mode("append").partitionBy("score_version").parquet(path)
+    """Score history by version: the versions in ``scores`` are written, each replaced as a whole, and read back; others stay.
+
+    A write that is tried again adds nothing, and a version that reads back with other rows than it was given is an error.
+    ``score_version`` is text and not null.
+    """
+    scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("score_version").parquet(path)
+    back = read_scores(scores.sparkSession, path, scores.schema)
+    want = _figure(scores)
+    if _figure(back.where(F.col("score_version").isin([w[0] for w in want]))) != want:
+        raise RuntimeError("scores read back differ from those written")
+
+
+def read_scores(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The score history of ``append_scores``; ``schema`` keeps the version as text."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
 def scenario_document(nodes: DataFrame, edges: DataFrame, loans: DataFrame, metrics: DataFrame) -> DataFrame:
