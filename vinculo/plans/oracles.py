@@ -226,8 +226,8 @@ ORACLES = {
         SELECT class, tp, fp, fn, round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / (pr + re), 6) AS f1, tp + fn AS support FROM q""",
     "bootstrap_intervals": f"""WITH {SCORED}, gr AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, max(y) AS pos, max(1 - y) AS neg FROM p GROUP BY 1),
         d AS (SELECT attempt, CAST(floor(CAST(('0x' || substr(md5('0-' || attempt || '-' || j), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) * n) AS BIGINT) AS i FROM range(1000) a(attempt), (SELECT max(n) AS n FROM gr), range((SELECT max(n) FROM gr)) b(j)),
-        w AS (SELECT attempt, g, count(*) AS w, max(max(pos)) OVER (PARTITION BY attempt) + max(max(neg)) OVER (PARTITION BY attempt) AS both FROM d JOIN gr USING (i) GROUP BY 1, 2),
-        k AS (SELECT attempt, g, w FROM w WHERE both = 2 AND attempt IN (SELECT DISTINCT attempt FROM w WHERE both = 2 ORDER BY 1 LIMIT 50)),
+        w AS (SELECT attempt, g, count(*) AS w, max(max(pos)) OVER (PARTITION BY attempt) + max(max(neg)) OVER (PARTITION BY attempt) AS two FROM d JOIN gr USING (i) GROUP BY 1, 2),
+        k AS (SELECT attempt, g, w FROM w WHERE two = 2 AND attempt IN (SELECT DISTINCT attempt FROM w WHERE two = 2 ORDER BY 1 LIMIT 50)),
         sc AS (SELECT attempt, s, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM k JOIN p USING (g) GROUP BY 1, 2),
         c AS (SELECT *, sum(pos) OVER (PARTITION BY attempt ORDER BY s DESC) AS tp, sum(pos + neg) OVER (PARTITION BY attempt ORDER BY s DESC) AS n FROM sc),
         m AS (SELECT attempt, round(sum(neg * (tp - pos / CAST(2 AS DOUBLE))) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * tp / CAST(n AS DOUBLE)) / sum(pos), 6) AS average_precision,
