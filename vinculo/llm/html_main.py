@@ -26,6 +26,14 @@ BOILER_WORDS = {
     "replies", "discussion", "disqus", "respond", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs",
     "pagination", "pager", "widget", "form", "search", "copyright", "legal", "disclaimer", "toolbar", "masthead", "skip",
 }
+#: Words that only say which part of a layout a boilerplate word names.
+LAYOUT = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "column", "container", "content", "footer", "global", "group", "inner", "item", "items", "left",
+    "link", "links", "list", "main", "message", "outer", "page", "panel", "posts", "primary", "right", "secondary", "section", "site", "slot", "text", "thread",
+    "title", "top", "unit", "user", "wrap", "wrapper",
+}
+#: Ids that name reader comments, wherever they stand.
+COMMENT_IDS = {"comment", "comments", "replies", "reply", "respond", "disqus"}
 #: First parts of class names that only say what a layout has or has not.
 MODIFIERS = {"no", "has", "with", "without", "not", "hide", "show", "is"}
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
@@ -55,8 +63,20 @@ class Run:
     dropped: bool
 
 
-def _boiler(tag: str, attributes: str) -> int:
-    """2 if the element is boilerplate by its tag, 1 if by its class, id or role, else 0."""
+def _names_boilerplate(name: str) -> bool:
+    """Whether a class or id names boilerplate as a whole: by its words and words of layout alone, or by its last word."""
+    parts = [p for p in re.split(r"[^a-z]+", name) if p]
+    if not parts or parts[0] in MODIFIERS or not BOILER_WORDS.intersection(parts):
+        return False
+    return parts[-1] in BOILER_WORDS or all(p in BOILER_WORDS or p in LAYOUT for p in parts)
+
+
+def _boiler(tag: str, attributes: str, inside: bool) -> int:
+    """2 if the element is boilerplate by its tag, 1 if by its class, id or role, else 0.
+
+    Ids name what a part is about, not only its layout: those of headings tell nothing, and inside an article only those of
+    comments do.
+    """
     if tag in BOILER:
         return 2
     if tag in ("body", "html", "article", "main"):
@@ -66,11 +86,11 @@ def _boiler(tag: str, attributes: str) -> int:
         if kind.lower() == "role":
             if value in BOILER_ROLES:
                 return 1
-        else:
-            for name in value.split():
-                parts = [p for p in re.split(r"[^a-z]+", name) if p]
-                if parts and parts[0] not in MODIFIERS and BOILER_WORDS.intersection(parts):
-                    return 1
+        elif kind.lower() == "id" and (inside or tag in ("h1", "h2", "h3", "h4", "h5", "h6")):
+            if tag[0] != "h" and COMMENT_IDS.intersection(re.split(r"[^a-z]+", value)):
+                return 1
+        elif any(map(_names_boilerplate, value.split())):
+            return 1
     return 0
 
 
@@ -160,7 +180,7 @@ def parse(page: str) -> list[Run]:
                     dropped -= sum(b == 1 for _, b in stack)
                     stack[:] = [(t, 0 if b == 1 else b) for t, b in stack]
                 content += 1
-            bad = 0 if tag == "header" and content else _boiler(tag, m[2])
+            bad = 0 if tag == "header" and content else _boiler(tag, m[2], content > 0)
             stack.append((tag, bad))
             counts[tag] += 1
             if tag in BLOCKS:
@@ -170,7 +190,7 @@ def parse(page: str) -> list[Run]:
 
 
 def tokens(page: str) -> dict[tuple[str, bool], int]:
-    """How often each kind of word (by the block and element it stands in) and each tag occurs as content and as something else.
+    """How often each kind of word and each tag, by the block and by whether an article holds it, occurs as content and as something else.
 
     Content is what an ``article`` or ``main`` element holds, without boilerplate; pages without one count nothing.
     """
@@ -182,7 +202,7 @@ def tokens(page: str) -> dict[tuple[str, bool], int]:
             if not r.dropped:
                 out[f"w:{r.place}:{int(r.inside)}", good] += r.words
             for t in r.tags:
-                out[f"t:{t}", good] += 1
+                out[f"t:{t}:{int(r.inside)}", good] += 1
     return {k: n for k, n in out.items() if n}
 
 
@@ -232,7 +252,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     Elements that are boilerplate by name, role or class (menus, headers, footers, sidebars,
     notices, adverts, forms, comments) are never part of the text and cost their own tags only,
     whatever they hold, so content on both sides of an advert stays one run. Words score by the
-    block they stand in and by whether the page marks that part as content (see ``learn``); where a page marks
+    block they stand in, and words and tags by whether the page marks that part as content (see ``learn``); where a page marks
     nothing they score 1. White space inside a block becomes one space, blocks are joined by one
     space. Empty without any content.
     """
@@ -245,7 +265,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     def word(r: Run) -> float:
         return weights.get(f"w:{r.place}:{int(r.inside)}", 2.0 if r.inside else LEAST_WORD) if marked else 1.0
 
-    scores = [[*(weights.get(f"t:{t}", -0.1 if t.lstrip("/") in plain else -1.0) for t in r.outer), 0.0 if r.dropped else r.words * word(r)] for r in runs]
+    scores = [[*(weights.get(f"t:{t}:{int(r.inside)}", -0.1 if r.inside or t.lstrip("/") in plain else -1.0) for t in r.outer), 0.0 if r.dropped else r.words * word(r)] for r in runs]
     first, last = best_run(scores)
     parts = []
     for r in runs[first:last]:
