@@ -22,8 +22,8 @@ from vinculo.llm.texts import map_batches, randoms
 
 #: Labelled documents of each class from which the model is fitted: those with the smallest hashes.
 MAX_TOXIC, MAX_CLEAN = 2500, 6000
-#: Sentences of each of these documents that the fit takes: those with the smallest hashes. With 400 characters of each
-#: this bounds the bytes of the fit's one task; scores read all of every text.
+#: Parts of each of these documents that the fit takes, those with the smallest hashes, and the characters of a part: a
+#: longer sentence is several parts. This bounds the bytes of the fit's one task; scores read all of every text.
 MAX_SENTENCES, MAX_SENTENCE = 300, 400
 #: Clean documents of these on which scores are calibrated.
 CALIBRATION = 2000
@@ -42,7 +42,8 @@ LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”‘’«»¡¿–—"
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _STEPS = [(a, b) for a, b in itertools.combinations(range(1, SPAN), 2)]
-_STOPS = re.compile(r"(?<=[.!?;:…])\s+|[\n\r]+")
+#: Sentence ends: marks before white space, marks that need none (fixed values), line ends.
+_STOPS = re.compile(r"(?<=[.!?;:…])\s+|(?<=[。！？；：｡؟۔।॥၊။።])\s*|[\n\r\x0b\x0c\x85\u2028\u2029]+")
 
 
 def units(text: str | None) -> set[str]:
@@ -61,6 +62,21 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in _STOPS.split(text or "") if s.strip()]
 
 
+def parts_of(text: str | None) -> list[str]:
+    """The text's sentences, those above MAX_SENTENCE characters cut between words (a longer word within); a cut's last word begins the next part too."""
+    out = []
+    for s in sentences(text):
+        at = 0
+        while len(s) - at > MAX_SENTENCE:
+            end = s.rfind(" ", at + 1, at + MAX_SENTENCE + 1)
+            end = end if end > at else at + MAX_SENTENCE
+            out.append(s[at:end])
+            back = s.rfind(" ", at + 1, end)
+            at = back if back > at else end
+        out.append(s[at:])
+    return out
+
+
 def couples(sentence: str) -> Iterator[tuple[str, str]]:
     """The two-word windows of a sentence."""
     words = [w.strip(_EDGES) or w for w in sentence.casefold().split()]
@@ -371,7 +387,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """(h, y, text) of a bounded sample: per class the documents with the smallest id hashes ``h``.
 
     Rows without id, text or label, and rows with crc32(id as text) mod 5 = 0, are left out; an id with
-    several labels has the greatest. Ids are chosen first, then the texts of the chosen ones are read.
+    several labels has the greatest, one with several texts that of the smallest hash, so rows are bounded as ids are. Ids
+    are chosen first, then the texts of the chosen ones are read.
     """
     fold = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
@@ -381,17 +398,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return own.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("h"), "y", "text")
+    rows = own.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return rows.select(F.xxhash64("id").alias("h"), "y", "text")
 
 
 def fit(rows: DataFrame) -> ToxicModel:
     """The model of ``rows(h, y, text)``, fitted in one task on an executor; only the model, 1 MB, comes to the driver.
 
-    The rows are a bounded sample (see ``training_rows``), of which the task takes ``MAX_SENTENCES`` sentences a document.
+    The rows are a bounded sample (see ``training_rows``), of which the task takes ``MAX_SENTENCES`` parts a document (see ``parts_of``).
     """
 
     def short(batch: dict[str, list]) -> dict[str, list]:
-        parts = [sorted((s[:MAX_SENTENCE] for s in sentences(t)), key=hash_of)[:MAX_SENTENCES] for t in batch["text"]]
+        parts = [heapq.nsmallest(MAX_SENTENCES, parts_of(t), key=hash_of) for t in batch["text"]]
         return {"h": batch["h"], "y": batch["y"], "parts": parts}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
