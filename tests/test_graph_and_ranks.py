@@ -224,3 +224,45 @@ def test_ownership_edges_of_a_selection(spark):
     subs = spark.createDataFrame([("k", "m", "ACTIVE")], "child_lei string, parent_lei string, rel_status string")
     got = {(r.from_id, r.to_id, r.rel_type) for r in acquisition.subgraph_edges(rels, firms, people, subs).collect()}
     assert got == {("p1", "c1", "CONTROLS"), ("k", "m", "IS_SUBSIDIARY_OF")}
+
+
+def test_json_records_in_splits(spark, tmp_path):
+    """Objects with braces, quotes and backslashes in their texts, over files cut into splits of 2 kB, equal the parsed documents."""
+    from vinculo.sources import readers
+
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice(['a', '"', "\\", "{", "}", "[", "]", ",", "é", "\n", " "]) for _ in range(rng.randrange(30)))
+    items = [{"id": i, "name": text(), "sub": {"x": text(), "y": [{"z": text()}]}} for i in range(400)]
+    plain, paged = tmp_path / "plain.json", tmp_path / "paged.json"
+    import json
+
+    plain.write_text(json.dumps(items, indent=1, ensure_ascii=False))
+    paged.write_text(json.dumps([{"da{ta": "{\"", "data": items[:150]}, {"data": []}, {"meta": {"n": 1}, "data": items[150:]}]))
+    schema = "id int, name string, sub struct<x: string, y: array<struct<z: string>>>"
+    want = sorted((i["id"], i["name"], i["sub"]["x"], i["sub"]["y"][0]["z"]) for i in items)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        spark.conf.set("spark.sql.files.openCostInBytes", "512")
+        assert spark.read.option("lineSep", "}").text(str(plain)).rdd.getNumPartitions() > 8
+        for path, depth in ((plain, 1), (paged, 2)):
+            rows = readers.read_json_records(spark, str(path), schema, depth).where("id is not null").collect()
+            assert sorted((r.id, r.name, r["sub"].x, r["sub"].y[0].z) for r in rows) == want
+        (tmp_path / "none.json").write_text("[]\n")
+        assert readers.read_json_records(spark, str(tmp_path / "none.json"), schema).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_many_files_are_listed_and_not_opened(spark, tmp_path):
+    from vinculo.sources import readers
+
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    for i in range(3000):
+        (tmp_path / "d" / ("e" if i % 2 else ".") / f"f{i}.csv").write_bytes(b"x" * (i % 5))
+    (tmp_path / "d" / "f7.csv").unlink(missing_ok=True)
+    (tmp_path / "d" / "e" / "f7.csv").chmod(0)
+    got = {r.name: (r.size_bytes, r.found, r.expected) for r in readers.check_sources(spark, str(tmp_path / "d"), ["f7.csv", "none.csv"]).collect()}
+    assert len(got) == 3001 and got["f7.csv"] == (2, True, True) and got["none.csv"] == (None, False, True) and got["f4.csv"] == (4, True, False)
+    assert readers.list_files(spark, str(tmp_path / "absent")).count() == 0
