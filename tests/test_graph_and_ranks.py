@@ -266,3 +266,19 @@ def test_many_files_are_listed_and_not_opened(spark, tmp_path):
     got = {r.name: (r.size_bytes, r.found, r.expected) for r in readers.check_sources(spark, str(tmp_path / "d"), ["f7.csv", "none.csv"]).collect()}
     assert len(got) == 3001 and got["f7.csv"] == (2, True, True) and got["none.csv"] == (None, False, True) and got["f4.csv"] == (4, True, False)
     assert readers.list_files(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_stored_hops_are_joined_without_a_shuffle(spark, tmp_path):
+    loans = spark.createDataFrame([("L1", "b", "VENCIDO", 5.0, 40), ("L2", "c", "VENCIDO", 7.0, 50), ("L3", "a", "ACTIVO", 1.0, 0)], "id_prestamo string, id_titular string, estatus string, saldo_vigente_mxn double, dias_mora int")
+    gar = spark.createDataFrame([("G1", "a", "L1"), ("G2", "b", "L2"), ("G3", "b", "L2"), ("G4", "c", "L3"), ("G5", None, "L3")], "id_garantia string, id_garante string, id_prestamo string")
+    sinks.store_hops(graph.hops_with_loans(gar, loans), "t_hops", str(tmp_path), 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stored, plain in ((graph.stored_chain(spark, "t_hops"), graph.guarantee_chain(gar, loans)), (graph.stored_adjacency(spark, "t_hops"), graph.guarantee_adjacency(gar, loans))):
+            assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, plain.collect())) and stored.count() > 0
+            assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE t_hops_by_src")
+        spark.sql("DROP TABLE t_hops_by_dst")

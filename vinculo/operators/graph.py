@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinculo.functions.columns import cents, pesos
@@ -150,6 +150,24 @@ def guarantee_chain(gar: DataFrame, pre: DataFrame, guarantor: str | None = None
     return (out.where(F.col("a") == guarantor) if guarantor else out).select("a", "b", "c", "loan_1", "loan_2", "balance", "dias_mora")
 
 
+def hops_with_loans(gar: DataFrame, pre: DataFrame) -> DataFrame:
+    """``guarantee_hops`` with the state, balance and days past due of the guaranteed loan, as ``sinks.store_hops`` keeps them."""
+    return guarantee_hops(gar, pre).join(pre.select("id_prestamo", "estatus", "saldo_vigente_mxn", "dias_mora"), "id_prestamo")
+
+
+def stored_adjacency(spark: SparkSession, name: str) -> DataFrame:
+    """``guarantee_adjacency`` over the tables of ``sinks.store_hops``, without a shuffle."""
+    return spark.table(f"{name}_by_src").select("src", "dst").distinct()
+
+
+def stored_chain(spark: SparkSession, name: str, guarantor: str | None = None) -> DataFrame:
+    """``guarantee_chain`` over the tables of ``sinks.store_hops``, without a shuffle."""
+    first = spark.table(f"{name}_by_dst").select(F.col("edge_id").alias("e1"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("id_prestamo").alias("loan_1"))
+    second = spark.table(f"{name}_by_src").where("estatus = 'VENCIDO'").select(F.col("edge_id").alias("e2"), F.col("src").alias("b"), F.col("dst").alias("c"), F.col("id_prestamo").alias("loan_2"), F.col("saldo_vigente_mxn").alias("balance"), "dias_mora")
+    out = first.join(second, "b").where("e1 <> e2")
+    return (out.where(F.col("a") == guarantor) if guarantor else out).select("a", "b", "c", "loan_1", "loan_2", "balance", "dias_mora")
+
+
 def guarantors_of(gar: DataFrame, pre: DataFrame, debtors: DataFrame | None = None, max_depth: int = 4) -> DataFrame:
     """(debtor, guarantor, depth): everyone who stands behind a debtor within ``max_depth`` hops."""
     back = guarantee_adjacency(gar, pre).select(F.col("dst").alias("src"), F.col("src").alias("dst"))

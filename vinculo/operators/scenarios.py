@@ -37,8 +37,8 @@ def validate_document(nodes: DataFrame, edges: DataFrame, loans: DataFrame, metr
         row(both.where(~same), "metrics differ", F.col("exposure_mxn"))])
 
 
-def validate_patterns(edges: DataFrame, loans: DataFrame) -> DataFrame:
-    """(scenario, pattern, holds): the patterns that the four scenarios are meant to show."""
+def validate_patterns(edges: DataFrame, loans: DataFrame, chain: tuple[str, ...] = ("P11", "P12", "P13")) -> DataFrame:
+    """(scenario, pattern, holds): the patterns that the four scenarios are meant to show; the first of ``chain`` reaches the others."""
     adj = scenario_adjacency(edges, loans)
     spark = edges.sparkSession
 
@@ -46,13 +46,13 @@ def validate_patterns(edges: DataFrame, loans: DataFrame) -> DataFrame:
         return adj.where(F.col("scenario") == name).select("src", "dst")
 
     part = lambda name, kind: edges.where((F.col("scenario") == name) & (F.col("type") == kind)).select("source", "target")
-    start = spark.createDataFrame([("P11",)], "start string")
+    start = spark.createDataFrame([(chain[0],)], "start string")
     reach = reachable(of("chain"), start).agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("x"))
     count = lambda df: df.agg(F.count("*").alias("x"))
     row = lambda df, s, p, holds: df.select(F.lit(s).alias("scenario"), F.lit(p).alias("pattern"), holds.alias("holds"))
     return reduce(DataFrame.unionByName, [
         row(count(shared_controllers(part("control", "controls"))), "control", "shared controller", F.col("x") > 0),
-        row(reach, "chain", "reach of P11", F.col("x") == "P12,P13"),
+        row(reach, "chain", f"reach of {chain[0]}", F.col("x") == ",".join(sorted(chain[1:]))),
         row(count(cycles(of("chain"))), "chain", "no cycle", F.col("x") == 0),
         row(count(cycles(of("cycle"))), "cycle", "one cycle", F.col("x") == 1),
         row(count(shareholder_hubs(part("hub", "shareholder"))), "hub", "hub company", F.col("x") > 0),

@@ -235,3 +235,4 @@ ORACLES = {
         v AS (UNPIVOT m ON roc_auc, average_precision, brier, log_loss INTO NAME metric VALUE value)
         SELECT 'fixed' AS model, metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v GROUP BY 2""",
 }
+ORACLES |= {f"{name}_stored": ORACLES[name] for name in ("guarantee_chain", "guarantee_adjacency")}

@@ -150,6 +150,13 @@ def score_history(p: Portfolio) -> DataFrame:
     return sinks.read_scores(p.spark, path, first.schema)
 
 
+def stored_hops(p: Portfolio) -> str:
+    """The guarantee hops as bucketed tables; their name."""
+    name = f"vinculo_hops_{uuid.uuid4().hex}"
+    sinks.store_hops(graph.hops_with_loans(p.garantias, p.prestamos), name, shared_dir(p.spark), 8)
+    return name
+
+
 def reach_from_hubs(p: Portfolio) -> DataFrame:
     """All that the ten guarantors of most debtors stand for, at any distance."""
     adj = graph.guarantee_adjacency(p.garantias, p.prestamos)
@@ -188,6 +195,8 @@ QUERIES: dict[str, Query] = {
     "cycles_to_6": on(lambda p: joined(graph.cycles(graph.guarantee_adjacency(p.garantias, p.prestamos), 6), "nodes")),
     "circular_3": on(circular_3),
     "guarantee_chain": on(lambda p: graph.guarantee_chain(p.garantias, p.prestamos)),
+    "guarantee_chain_stored": on(lambda p: graph.stored_chain(p.spark, stored_hops(p))),
+    "guarantee_adjacency_stored": on(lambda p: graph.stored_adjacency(p.spark, stored_hops(p))),
     "guarantors_of_debtors": on(lambda p: graph.guarantors_of(p.garantias, p.prestamos)),
     "guarantor_figures": on(lambda p: graph.guarantor_figures(p.garantias, p.prestamos)),
     "cycle_routes": on(cycle_routes),

@@ -30,6 +30,15 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("edge_type").parquet(f"{path}/edges")
 
 
+def store_hops(hops: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """Tables ``<name>_by_src`` and ``<name>_by_dst`` of guarantee hops below ``path``, bucketed and sorted by either end.
+
+    Joins of hops end to end, and the adjacency, then read matching buckets and shuffle nothing.
+    """
+    for end in ("src", "dst"):
+        hops.repartition(buckets, end).write.mode("overwrite").option("path", f"{path}/{name}_by_{end}").bucketBy(buckets, end).sortBy(end).saveAsTable(f"{name}_by_{end}")
+
+
 def write_experiment(tables: dict[str, DataFrame], path: str) -> None:
     """The result tables of an experiment, one Parquet folder each."""
     for name, df in tables.items():
