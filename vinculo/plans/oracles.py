@@ -14,8 +14,9 @@ cli AS (SELECT 'CLI-' || lpad(CAST(k AS VARCHAR), 7, '0') AS id_cliente,
 emp AS (SELECT 'EMP-' || lpad(CAST(k AS VARCHAR), 7, '0') AS id_empresa, CASE WHEN k % 50 = 7 THEN NULL ELSE s_name END AS razon_social,
   CASE WHEN k % 33 = 6 THEN 13 ELSE 12 END AS rfc_len, (['COMERCIO', 'SERVICIOS', 'MANUFACTURA', 'CONSTRUCCION', 'TRANSPORTE'])[k % 5 + 1] AS sector,
   CASE WHEN k % 19 = 3 THEN NULL ELSE (k * 53) % 900 + 1 END AS num_empleados,
-  CASE WHEN k % 21 = 4 THEN NULL WHEN k % 21 = 5 THEN 0 ELSE abs(s_acctbal) * 1000 END AS ingresos
-  FROM (SELECT s_suppkey AS k, * FROM supplier)),
+  CASE WHEN k % 21 = 4 THEN NULL WHEN k % 21 = 5 THEN 0 ELSE abs(s_acctbal) * 1000 END AS ingresos,
+  CASE WHEN k % 4 = 0 THEN (['CMX', 'NL', 'JAL', 'MEX', 'QRO'])[k % 5 + 1] ELSE n_name END AS estado
+  FROM (SELECT s_suppkey AS k, * FROM supplier) LEFT JOIN nation ON s_nationkey = n_nationkey),
 pre AS (SELECT 'PRE-' || lpad(CAST(k AS VARCHAR), 9, '0') AS id_prestamo,
   CASE WHEN k % 211 = 4 THEN 'CLI-9999999' WHEN k % 10 < 7 THEN 'CLI-' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') ELSE 'EMP-' || lpad(CAST((k // 10) % (SELECT count(*) FROM supplier) AS VARCHAR), 7, '0') END AS id_titular,
   CASE WHEN k % 151 = 3 THEN 'EMPRESA' WHEN k % 10 < 7 THEN 'INDIVIDUAL' ELSE 'EMPRESA' END AS tipo_titular,
@@ -201,6 +202,13 @@ ORACLES = {
         h AS (SELECT e AS node FROM (SELECT DISTINCT p, e FROM rel WHERE tipo = 'ACCIONISTA') GROUP BY 1 HAVING count(*) >= 3)
         SELECT node, 'out' AS direction, edge_type, dst AS other FROM ed JOIN h ON src = node UNION ALL SELECT node, 'in', edge_type, src FROM ed JOIN h ON dst = node"""),
     "party_counts": graph("SELECT e AS id_empresa, count(*) AS members, count(*) * (count(*) - 1) // 2 AS pairs FROM accs GROUP BY 1"),
+    "loans_from_csv": graph(f"SELECT id_prestamo, id_titular, estatus, monto AS monto_original_mxn, c {M} AS saldo_vigente_mxn, CAST(mora AS INTEGER) AS dias_mora FROM pre"),
+    "clean_from_store": etl("SELECT entity_type, count(*) FILTER (len(r) = 0) AS n FROM allrows GROUP BY 1"),
+    "rejects_from_store": etl("SELECT id, entity_type, array_to_string(r, ' | ') AS rejection_reasons FROM allrows WHERE len(r) > 0"),
+    "registry_companies": graph("SELECT id_empresa AS lei, coalesce(razon_social, '') AS legal_name, 'MX-' || estado AS address_region FROM emp WHERE num_empleados IS NOT NULL"),
+    "split_membership": f"""WITH {LABELLED}, r AS (SELECT seed, g, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(seed AS VARCHAR) || '-' || CAST(g AS VARCHAR)), g) AS rn, count(*) OVER (PARTITION BY seed) AS n
+        FROM (SELECT DISTINCT g FROM l), (SELECT unnest([0, 1]) AS seed)) SELECT seed, c_custkey AS borrower_id, g AS group_id, CASE WHEN rn <= floor(n * 0.6) THEN 'train' WHEN rn <= floor(n * 0.8) THEN 'calibration' ELSE 'test' END AS split
+        FROM r JOIN customer ON c_custkey // 10 = g""",
     "score_history": graph("""SELECT score_version, count(*) AS n, round(avg(pd), 6) AS mean, round(stddev(pd), 6) AS stddev, min(pd) AS min, median(pd) AS median, max(pd) AS max
         FROM (SELECT 'v1' AS score_version, pd FROM pre UNION ALL SELECT 'v2', pd / 2 FROM pre WHERE estatus <> 'PAGADO') GROUP BY 1"""),
     "not_rescored": graph("SELECT id_prestamo FROM pre WHERE estatus = 'PAGADO'"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from vinculo.functions.runtime import materialize, shared_dir
 from vinculo.functions.strong import reach_counts, strong_components
 from vinculo.operators import acquisition, exposure, graph, quality, scoring
 from vinculo.plans.portfolio import Portfolio
-from vinculo.sources import sinks
+from vinculo.sources import readers, sinks
+from vinculo.sources.schemas import LABELS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,6 +152,47 @@ def score_history(p: Portfolio) -> DataFrame:
     return sinks.read_scores(p.spark, path, first.schema)
 
 
+def new_folder(p: Portfolio) -> str:
+    return f"{shared_dir(p.spark)}/vinculo-landed-{uuid.uuid4().hex}"
+
+
+def loans_from_csv(p: Portfolio) -> DataFrame:
+    """The loans written as CSV and read with their schema."""
+    path = new_folder(p)
+    sinks.write_csv(p.prestamos.withColumn("_helper", F.lit(1)), path)
+    return readers.read_raw(p.spark, path, "prestamos").select("id_prestamo", "id_titular", "estatus", "monto_original_mxn", "saldo_vigente_mxn", "dias_mora")
+
+
+def clean_from_store(p: Portfolio) -> DataFrame:
+    """Rows of the clean layer as written and read back, by entity."""
+    path, clean = new_folder(p), etl(p).clean
+    for entity, df in clean.items():
+        sinks.write_clean(df, path, entity)
+    counts = [readers.read_clean(p.spark, path, e).agg(F.count("*").alias("n")).select(F.lit(LABELS[e]).alias("entity_type"), "n") for e in clean]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def rejects_from_store(p: Portfolio) -> DataFrame:
+    """The audit as written by entity and read back."""
+    path = new_folder(p)
+    sinks.write_rejected(quality.audit(etl(p)), path)
+    return p.spark.read.parquet(path).select("id", "entity_type", "rejection_reasons")
+
+
+def registry_companies(p: Portfolio) -> DataFrame:
+    """Companies landed as registry pages of 200 items, read in splits; those with staff are active."""
+    named = lambda name, c: F.struct(F.col(c).alias(name)) if isinstance(c, str) else F.struct(c.alias(name))
+    status = F.when(F.col("num_empleados").isNotNull(), "ACTIVE").otherwise("INACTIVE")
+    address = F.struct(F.lit("MX").alias("country"), F.concat(F.lit("MX-"), "estado_registro").alias("region"))
+    entity = F.struct(named("name", "razon_social").alias("legalName"), status.alias("status"), address.alias("legalAddress"))
+    item = named("attributes", F.struct(F.col("id_empresa").alias("lei"), entity.alias("entity")))
+    page = F.expr("cast(substring(id_empresa, 5) as bigint) div 200")
+    path = new_folder(p)
+    sinks.write_json(p.empresas.groupBy(page.alias("page")).agg(F.collect_list(item).alias("data")).select("data"), path)
+    found = readers.filter_entities(readers.flatten_entities(readers.read_registry_items(p.spark, path)))
+    return found.select("lei", "legal_name", "address_region")
+
+
 def stored_hops(p: Portfolio) -> str:
     """The guarantee hops as bucketed tables; their name."""
     name = f"vinculo_hops_{uuid.uuid4().hex}"
@@ -212,6 +255,11 @@ QUERIES: dict[str, Query] = {
     "concentration_all": on(lambda p: graph.concentration_risk(p.relaciones, p.prestamos, 1)),
     "hub_edges": on(lambda p: graph.incident_edges(edges_of(p)[1], graph.shareholder_hubs(shares(p)).select("target"))),
     "party_counts": on(lambda p: graph.party_counts(ties(p))),
+    "loans_from_csv": on(loans_from_csv),
+    "clean_from_store": on(clean_from_store),
+    "rejects_from_store": on(rejects_from_store),
+    "registry_companies": on(registry_companies),
+    "split_membership": on(lambda p: scoring.split_membership(borrowers(p), [0, 1])),
     "score_history": on(lambda p: exposure.pd_by_version(score_history(p))),
     "not_rescored": on(lambda p: exposure.not_rescored(score_history(p), "v1", "v2")),
     "shared_director_loans": on(lambda p: graph.shared_director_loans(p.relaciones, p.prestamos)),

@@ -31,21 +31,32 @@ def read_registry_pages(spark: SparkSession, path: str) -> DataFrame:
     return read_json_array(spark, path, REGISTRY_PAGE)
 
 
+def read_registry_items(spark: SparkSession, path: str) -> DataFrame:
+    """The items of landed registry pages, one row each, with the page files read in splits."""
+    return read_json_records(spark, path, REGISTRY_PAGE.removeprefix("data array<").removesuffix(">"), depth=2)
+
+
+def _attributes(landed: DataFrame) -> DataFrame:
+    """The attributes of registry items, from pages or from items."""
+    items = landed.select(F.explode("data").alias("d")).select("d.attributes") if "data" in landed.columns else landed
+    return items.select("attributes.*")
+
+
 def flatten_entities(pages: DataFrame) -> DataFrame:
-    """One row per registry entity; an absent field is the empty text."""
+    """One row per registry entity of pages or of items; an absent field is the empty text."""
     fields = {
         "lei": "lei", "legal_name": "entity.legalName.name", "status": "entity.status", "jurisdiction": "entity.jurisdiction", "registered_as": "entity.registeredAs",
         "legal_form_id": "entity.legalForm.id", "creation_date": "entity.creationDate", "address_city": "entity.legalAddress.city", "address_region": "entity.legalAddress.region",
         "address_country": "entity.legalAddress.country", "address_postal": "entity.legalAddress.postalCode",
     }
-    each = pages.select(F.explode("data").alias("d")).select("d.attributes.*")
+    each = _attributes(pages)
     return each.select(*[F.coalesce(F.col(path), F.lit("")).alias(name) for name, path in fields.items()])
 
 
 def flatten_relationships(pages: DataFrame) -> DataFrame:
-    """One row per registry edge from child to parent."""
+    """One row per registry edge from child to parent, of pages or of items."""
     fields = {"child_lei": "relationship.startNode.id", "parent_lei": "relationship.endNode.id", "rel_type": "relationship.type", "rel_status": "relationship.status", "valid_from": "validFrom", "valid_to": "validTo"}
-    each = pages.select(F.explode("data").alias("d")).select("d.attributes.*")
+    each = _attributes(pages)
     return each.select(*[F.coalesce(F.col(path), F.lit("")).alias(name) for name, path in fields.items()])
 
 
