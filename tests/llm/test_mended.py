@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from vinculo.llm import compact_windows, html_main, toxicity
+from vinculo.llm import compact_windows, html_main, pii, token_counts, toxicity
+from vinculo.llm.queries import vocabulary
 
 
 def jaccard(a, b, k=5):
@@ -104,3 +105,19 @@ def test_names_that_only_hold_a_boilerplate_word_are_kept(part):
 @pytest.mark.parametrize("part", ["<div class='ad'>buy</div>", "<div class='site-header'>buy</div>", "<div class='comments-area'>buy</div>", "<div id='comments'>buy</div>", "<div class='cookie-notice'>buy</div>", "<aside>buy</aside>", "<div class='ad-slot left'>buy</div>"])
 def test_boilerplate_names_are_dropped(part):
     assert html_main.extract(f"<article><p>{WORDS(40, 'a')}</p>{part}<p>{WORDS(40, 'b')}</p></article>", {}) == f"{WORDS(40, 'a')} {WORDS(40, 'b')}"
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="word ends"):
+        token_counts.WordCounter(vocabulary("byte_bpe_50k.json"))
+
+
+def test_surrogates_of_rows_without_distinct_ids_stay_apart(spark):
+    """Rows that share an id or have none, with colliding entities: each row's own text is rewritten, one entity the same everywhere."""
+    mails = [f"user{i}@mail.example" for i in range(60)]
+    rows = [(None if i % 2 else 7, f"{i}: {m} and {mails[0]}") for i, m in enumerate(mails)]
+    df = spark.createDataFrame([(a, t, 1, 2) for a, t in rows], "doc_id long, text string, row int, moved int")
+    out = pii.pseudonymise(df, b"k" * 32).collect()
+    assert len(out) == 60 and all(m not in r.text for r in out for m in mails)
+    parts = {int(r.text.split(":")[0]): r.text.split(": ")[1].split(" and ") for r in out}
+    assert len({p[0] for p in parts.values()}) == 60 and {p[1] for p in parts.values()} == {parts[0][0]}

@@ -9,7 +9,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vinculo.functions.runtime import materialize, small
+from vinculo.functions.runtime import ROW, materialize, small, with_rows
 from vinculo.llm.texts import map_batches
 
 MAX_ATTEMPTS = 24
@@ -314,10 +314,11 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     script and the gender that the title states are kept; where a format has fewer surrogates than
     the corpus has entities, those that would collide get more digits, or an address of a wider range. Most surrogates follow from the key
     alone; only the entities that a collision moved to a later attempt travel to the documents
-    that hold them. Null text stays null with 0 entities, clean text is unchanged; very long texts are replaced whole; null ids and rows that
-    repeat an id give a row each (an id's rows share the attempts of their entities, which follow from the entities alone); an empty table an empty result; other columns are not read.
+    that hold them. Null text stays null with 0 entities, clean text is unchanged; very long texts are replaced whole; rows without an id and rows that
+    repeat an id are documents of their own; an empty table an empty result; other columns are not read.
     """
-    held = materialize(entities(docs, id_col, text_col))
+    rows, _ = with_rows(docs, id_col, text_col)
+    held = materialize(entities(rows, ROW, text_col))
     moved = collision_free(held.select("kind", "canonical").distinct(), key).where("attempt > 0")
     moved = held.join(moved, ["kind", "canonical"]).groupBy("id").agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias("moved"))
     moved = materialize(moved)
@@ -334,7 +335,6 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
             counts.append(len(found))
         return {"id": batch["id"], "text": texts, "n_entities": counts}
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = own["id"].eqNullSafe(moved["id"])
-    joined = own.join(small(moved), known, "left").select(own["id"], "text", "moved")
+    own = rows.select(F.col(ROW).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    joined = own.join(small(moved.withColumnRenamed("id", "row")), "row", "left").select("id", "text", "moved")
     return map_batches(joined, run, "id long, text string, n_entities int").select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_entities")

@@ -36,7 +36,9 @@ class WordCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.end = model["end_of_word_suffix"] or ""
+        self.end = model.get("end_of_word_suffix") or ""
+        if not self.end or "Lowercase" not in json.dumps(spec["normalizer"]):
+            raise ValueError(f"{path}: only lower-casing vocabularies with word ends are counted")
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         mark = lambda p: p.removesuffix(self.end) + LAST if self.end and p.endswith(self.end) else p
         self.ranks = {(a, mark(b)): i for i, (a, b) in enumerate(pairs)}
