@@ -213,7 +213,9 @@ ORACLES = {
         FROM (SELECT 'v1' AS score_version, pd FROM pre UNION ALL SELECT 'v2', pd / 2 FROM pre WHERE estatus <> 'PAGADO') GROUP BY 1"""),
     "not_rescored": graph("SELECT id_prestamo FROM pre WHERE estatus = 'PAGADO'"),
     "strong_components": graph(f"WITH {EVER} SELECT node, component FROM scc"),
-    "reach_unlimited": graph(f"WITH {EVER} SELECT scc.node, component, size, (SELECT count(*) FROM ever WHERE ever.start = scc.node) AS reached FROM scc"),
+    "reach_counts": graph(f"WITH {EVER} SELECT scc.node, component, size, (SELECT count(*) FROM ever WHERE ever.start = scc.node) AS reached FROM scc"),
+    "reach_unlimited": graph("""WITH far AS (WITH RECURSIVE t(start, node, depth) USING KEY (start, node) AS (SELECT DISTINCT src, src, 0 FROM adj
+        UNION SELECT DISTINCT t.start, adj.dst, t.depth + 1 FROM t JOIN adj ON t.node = adj.src LEFT JOIN recurring.t AS r ON r.start = t.start AND r.node = adj.dst WHERE r.node IS NULL) SELECT * FROM t) SELECT start, node, depth FROM far WHERE start <> node"""),
     "reach_from_hubs": graph("""WITH h AS (SELECT src FROM adj GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 10), far AS (WITH RECURSIVE t(start, node, depth) AS (SELECT src, src, 0 FROM h UNION SELECT start, adj.dst, depth + 1 FROM t JOIN adj ON t.node = adj.src WHERE depth < 300)
         SELECT start, node, min(depth) AS depth FROM t WHERE start <> node GROUP BY 1, 2) SELECT start, node, depth FROM far"""),
     "cycles_unbounded": graph("""WITH whole AS (SELECT DISTINCT id_garante AS src, id_titular AS dst FROM gar JOIN pre USING (id_prestamo) WHERE pct = 100), ring AS (WITH RECURSIVE t(root, node, nodes) AS (SELECT src, dst, [src, dst] FROM whole WHERE dst > src

@@ -292,7 +292,8 @@ QUERIES: dict[str, Query] = {
     "experiment_uplift": on(lambda p: experiment(p, "uplift")),
     "experiment_curves": on(lambda p: scoring.calibration_curve(predictions(p), ["condition", "seed", "model"])),
     "experiment_split_counts": on(lambda p: scoring.split_counts(scoring.sweep_members(conditions(p), SEEDS), by=("condition", "seed"))),
-    "reach_unlimited": on(lambda p: reach_counts(graph.guarantee_adjacency(p.garantias, p.prestamos))),
+    "reach_counts": on(lambda p: reach_counts(graph.guarantee_adjacency(p.garantias, p.prestamos))),
+    "reach_unlimited": on(lambda p: graph.reachable(graph.guarantee_adjacency(p.garantias, p.prestamos))),
     "reach_from_hubs": on(reach_from_hubs),
     "cycles_unbounded": on(lambda p: joined(graph.cycles(strong_guarantees(p)), "nodes")),
     "strong_components": on(lambda p: strong_components(graph.guarantee_adjacency(p.garantias, p.prestamos))),
