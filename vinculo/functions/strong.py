@@ -104,16 +104,20 @@ def strong_components(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(start, node): all nodes that paths of any length lead to from each start, over edges without cycles among ``edges(src, dst)``.
 
-    One join a hop from the pairs that are new; each hop is written.
+    HOPS joins from the pairs that are new between two writes.
     """
     roots = (starts.select(F.col(starts.columns[0]).alias("start")) if starts is not None else edges.select(F.col("src").alias("start"))).distinct()
-    frontier = materialize(roots.join(edges, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct())
-    seen = frontier
-    while not frontier.isEmpty():
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = materialize(step.join(seen, ["start", "node"], "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
+    seen, frontier = None, roots.select("start", F.col("start").alias("node"))
+    while True:
+        step, met = frontier, None
+        for _ in range(HOPS):
+            step = step.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+            met = step if met is None else met.unionByName(step)
+        met = met.distinct()
+        frontier = materialize(met if seen is None else met.join(seen, ["start", "node"], "left_anti"))
+        seen = frontier if seen is None else seen.unionByName(frontier)
+        if frontier.isEmpty():
+            return seen
 
 
 def reach_counts(edges: DataFrame) -> DataFrame:
