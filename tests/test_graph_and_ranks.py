@@ -282,3 +282,14 @@ def test_stored_hops_are_joined_without_a_shuffle(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP TABLE t_hops_by_src")
         spark.sql("DROP TABLE t_hops_by_dst")
+
+
+def test_importances_and_lookup(spark):
+    rng = random.Random(5)
+    rows = [(x := rng.random(), rng.random(), int(x > 0.5)) for _ in range(120)]
+    df = spark.createDataFrame(rows, "a double, b double, label int")
+    got = scoring.importances(scoring.fit_gbt(df, ["a", "b"], trees=2, depth=2), ["a", "b"], spark).collect()
+    assert got[0].feature == "a" and got[0].importance > 0.9 and sum(r.importance for r in got) == pytest.approx(1)
+    names = spark.createDataFrame([("x", "Equis")], "id string, name string")
+    some = spark.createDataFrame([("x",), ("y",), (None,)], "ref string")
+    assert {(r.ref, r.name) for r in acquisition.lookup(some, names, "ref", "unknown").collect()} == {("x", "Equis"), ("y", "unknown"), (None, "unknown")}
