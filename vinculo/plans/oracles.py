@@ -227,7 +227,7 @@ ORACLES = {
         (SELECT count(*) FROM pp WHERE n > 1) AS multi_company_persons, (SELECT round(sum(n) / CAST(count(*) AS DOUBLE), 2) FROM pp) AS mean_companies, (SELECT max(n) FROM pp) AS max_companies,
         (SELECT count(*) FROM pf WHERE n > 1) AS shared_companies, (SELECT round(sum(n) / CAST(count(*) AS DOUBLE), 2) FROM pf) AS mean_controllers"""),
     "experiment_split_counts": f"""WITH {LABELLED}, r AS (SELECT seed, g, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(seed AS VARCHAR) || '-' || CAST(g AS VARCHAR)), g) AS rn, count(*) OVER (PARTITION BY seed) AS n
-        FROM (SELECT DISTINCT g FROM l), (SELECT unnest([1, 2]) AS seed)), s AS (SELECT seed, g, CASE WHEN rn <= floor(n * 0.6) THEN 'train' WHEN rn <= floor(n * 0.8) THEN 'calibration' ELSE 'test' END AS split FROM r)
+        FROM (SELECT DISTINCT g FROM l), (SELECT unnest([1, 3]) AS seed)), s AS (SELECT seed, g, CASE WHEN rn <= floor(n * 0.6) THEN 'train' WHEN rn <= floor(n * 0.8) THEN 'calibration' ELSE 'test' END AS split FROM r)
         SELECT condition, seed, split, count(*) AS borrowers, count(DISTINCT g) AS groups, sum(y) AS positives, min(y) < max(y) AS both_classes FROM s JOIN l USING (g), (SELECT unnest(['all_edges', 'ring_edges']) AS condition) GROUP BY 1, 2, 3""",
     "calibration_curve": f"""WITH {SCORED}, e AS (SELECT quantile_cont(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM p)
         SELECT 'fixed' AS model, CAST(len(list_filter(e, lambda x: x < s)) AS INTEGER) AS bin, count(*) AS n, round(avg(s), 6) AS mean_score, round(avg(y), 6) AS event_rate FROM p, e GROUP BY 2""",

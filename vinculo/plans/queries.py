@@ -125,7 +125,7 @@ def conditions(p: Portfolio) -> scoring.Conditions:
     return {"all_edges": (rows, edges), "ring_edges": (rows, ring)}
 
 
-SEEDS = [1, 2]
+SEEDS = [1, 3]
 
 
 def predictions(p: Portfolio, trees: int = 5) -> DataFrame:
