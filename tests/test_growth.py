@@ -1,7 +1,10 @@
 """What the steps of graph queries write grows with the graph, not with the graph times its longest path."""
 
+import random
+
 import pytest
 
+from tests.test_graph_and_ranks import brute
 from vinculo.functions import strong
 
 
@@ -30,3 +33,16 @@ def test_a_long_component_is_written_a_few_times(spark, written):
     got = strong.strong_components(spark.createDataFrame(edges, "src string, dst string")).collect()
     assert len(got) == 82 and {r.component for r in got} == {"l000"}
     assert sum(written) <= 12 * len(edges)  # colours were written whole every three hops, each way
+
+
+def test_reach_beside_above_and_below_the_largest_component(spark):
+    """Tails into and out of a ring, a node that skips it, a second ring, and pairs that only touch what lies below."""
+    rng = random.Random(5)
+    ring = [(f"k{i}", f"k{(i + 1) % 7}") for i in range(7)] + [("k0", "k3"), ("k5", "k2")]
+    other = [("m0", "m1"), ("m1", "m0"), ("m0", "m2"), ("m2", "m0"), ("m2", "d1")]
+    edges = ring + other + [("u0", "u1"), ("u1", "k0"), ("u1", "s0"), ("s0", "s1"), ("s1", "d2"), ("k4", "d0"), ("d0", "d1"), ("d1", "d2"), ("a0", "d0"), ("a0", "a1"), ("u0", "m0")]
+    for extra in ([], [(f"x{rng.randrange(12)}", f"x{rng.randrange(12)}") for _ in range(30)] + [("x3", "k1"), ("d2", "x5")]):
+        nodes, _, reach = brute(edges + extra)
+        comp = {x: min([x, *[y for y in reach[x] if x in reach[y]]]) for x in nodes}
+        got = {r.node: (r.component, r.reached) for r in strong.reach_counts(spark.createDataFrame(edges + extra, "src string, dst string")).collect()}
+        assert got == {x: (comp[x], len(reach[x] - {x})) for x in nodes}
