@@ -41,6 +41,23 @@ def test_edited_passages_near_the_least_length_are_found(spark):
     assert share["50 verbatim"] == 1.0 and min(share.values()) >= 0.9, share
 
 
+def test_a_passage_beside_one_found_with_the_first_document(spark):
+    """The smallest id shares one passage with two others, and a part too small for a passage of what these two share beside it."""
+    rng = random.Random(21)
+    fill = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    docs, least = [], 3
+    for f in range(150):
+        passage, line = fill(54), fill(36)
+        framed = fill(9) + line + fill(9)
+        docs += [(least * f, fill(60) + passage + fill(9) + line + fill(80)), (least * f + 1, fill(60) + passage + framed + fill(60)), (least * f + 2, fill(60) + passage + framed + fill(60))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(4)
+    reached = {}
+    for r in compact_windows.repeated_passages(df).collect():
+        assert r.doc_id // least == r.rep_id // least
+        reached.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert [i for i, _ in docs if i % least == 2 and not set(range(60, 168)) <= reached.get(i, set())] == []
+
+
 def test_stretches_are_the_best_of_the_least_width():
     rng = np.random.default_rng(3)
     for _ in range(300):
