@@ -6,6 +6,7 @@ import pytest
 
 from tests.test_graph_and_ranks import brute
 from vinculo.functions import strong
+from vinculo.operators import scoring
 
 
 @pytest.fixture
@@ -46,3 +47,19 @@ def test_reach_beside_above_and_below_the_largest_component(spark):
         comp = {x: min([x, *[y for y in reach[x] if x in reach[y]]]) for x in nodes}
         got = {r.node: (r.component, r.reached) for r in strong.reach_counts(spark.createDataFrame(edges + extra, "src string, dst string")).collect()}
         assert got == {x: (comp[x], len(reach[x] - {x})) for x in nodes}
+
+
+def test_models_that_see_the_same_rows_are_fitted_once(spark, monkeypatch):
+    """Two conditions over the same borrowers: only the model with graph features is fitted in each."""
+    rng, fits = random.Random(2), []
+    for name in ("fit_logistic", "fit_gbt"):
+        plain = getattr(scoring, name)
+        monkeypatch.setattr(scoring, name, lambda train, features, *a, plain=plain, **k: (fits.append((plain.__name__, len(features))), plain(train, features, *a, **k))[1])
+    b = spark.createDataFrame([(i, i // 5, rng.random(), rng.random(), rng.random(), rng.random(), rng.random(), int(rng.random() < 0.4)) for i in range(200)],
+                              "borrower_id int, group_id int, balance double, leverage double, interest_coverage double, cash_buffer double, stress double, label int")
+    e = spark.createDataFrame([(i, (i + 1) % 200) for i in range(200)], "src int, dst int")
+    pred = scoring.run_sweep({"x": (b, e), "y": (b, e.where("src % 2 = 0"))}, [1], trees=1).collect()
+    assert sorted(fits) == [("fit_gbt", 3), ("fit_gbt", 6), ("fit_gbt", 6), ("fit_logistic", 3)]
+    of = {c: sorted((r.model, r.borrower_id, r.p_raw, r.p) for r in pred if r.condition == c) for c in "xy"}
+    assert {m for m, *_ in of["x"]} == {"constant", "logistic", "gbt", "gbt_graph"} and len(of["x"]) == len(of["y"])
+    assert [r for r in of["x"] if r[0] != "gbt_graph"] == [r for r in of["y"] if r[0] != "gbt_graph"]

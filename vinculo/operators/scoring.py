@@ -316,22 +316,31 @@ def run_sweep(conditions: Conditions, seeds: list[int], trees: int = 150) -> Dat
     """(condition, seed, model, borrower_id, group_id, y, p_raw, p): test predictions of four models before and after calibration.
 
     ``conditions`` maps a name to (borrowers with label, edges). A part of a split with one class is an error. The
-    loop is over fits only; metrics and bootstraps run once over the union.
+    loop is over fits only; metrics and bootstraps run once over the union. Conditions with the same borrowers share
+    their splits and all models without graph features, which see the same rows in each.
     """
-    out = []
+    out, plain, splits = [], {}, {}
     for name, (borrowers, edges) in conditions.items():
         rows = materialize(graph_features(borrowers, edges).fillna({"connected_financial_stress": 0.0}))
-        splits = materialize(split_by_seeds(rows, seeds))
+        of = id(borrowers)
+        if of not in splits:
+            splits[of] = materialize(split_by_seeds(rows, seeds))
         for seed in seeds:
-            whole = materialize(rows.join(splits.where(F.col("seed") == seed).drop("seed"), "group_id"))
-            if whole.groupBy("split").agg(F.countDistinct("label").alias("n")).where("n < 2").count():
-                raise ValueError("each part must hold both classes")
+            whole = materialize(rows.join(splits[of].where(F.col("seed") == seed).drop("seed"), "group_id"))
             part = {s: whole.where(F.col("split") == s).drop("split") for s in ("train", "calibration", "test")}
-            rate = constant_model(part["train"])
-            models = {"constant": None, "logistic": fit_logistic(part["train"], feature_names(False)), "gbt": fit_gbt(part["train"], feature_names(False), trees=trees), "gbt_graph": fit_gbt(part["train"], feature_names(True), trees=trees)}
-            for model, fitted in models.items():
+            if (of, seed) not in plain and whole.groupBy("split").agg(F.countDistinct("label").alias("n")).where("n < 2").count():
+                raise ValueError("each part must hold both classes")
+            fits = {"gbt_graph": lambda: fit_gbt(part["train"], feature_names(True), trees=trees)}  # noqa: B023
+            if (of, seed) not in plain:
+                rate = constant_model(part["train"])
+                fits |= {"constant": lambda: None, "logistic": lambda: fit_logistic(part["train"], feature_names(False)), "gbt": lambda: fit_gbt(part["train"], feature_names(False), trees=trees)}  # noqa: B023
+            made = {}
+            for model, fit in fits.items():
+                fitted = fit()
                 raw = lambda df: df.withColumn("p", F.lit(float(rate))) if fitted is None else predict(fitted, df)  # noqa: B023, E731
                 pred = calibrate(raw(part["calibration"]), raw(part["test"]))
-                pred = pred.select(F.lit(name).alias("condition"), F.lit(seed).alias("seed"), F.lit(model).alias("model"), "borrower_id", "group_id", F.col("label").alias("y"), F.col("p").alias("p_raw"), F.col("p_calibrated").alias("p"))
-                out.append(pred)
+                made[model] = pred.select(F.lit(seed).alias("seed"), F.lit(model).alias("model"), "borrower_id", "group_id", F.col("label").alias("y"), F.col("p").alias("p_raw"), F.col("p_calibrated").alias("p"))
+            plain.setdefault((of, seed), {m: p for m, p in made.items() if m != "gbt_graph"})
+            for pred in [*plain[of, seed].values(), made["gbt_graph"]]:
+                out.append(pred.select(F.lit(name).alias("condition"), *pred.columns))
     return reduce(DataFrame.unionByName, out)
