@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from vinculo.llm import compact_windows, html_main, pii, token_counts, toxicity
+from vinculo.llm import compact_windows, html_main, pii, sp_fst, token_counts, toxicity
 from vinculo.llm.queries import vocabulary
 
 
@@ -138,3 +139,32 @@ def test_surrogates_of_rows_without_distinct_ids_stay_apart(spark):
     assert len(out) == 60 and all(m not in r.text for r in out for m in mails)
     parts = {int(r.text.split(":")[0]): r.text.split(": ")[1].split(" and ") for r in out}
     assert len({p[0] for p in parts.values()}) == 60 and {p[1] for p in parts.values()} == {parts[0][0]}
+
+
+def test_a_worker_keeps_one_operators_memory(spark, monkeypatch):
+    """What scores toxicity, or collects parts for the fit, lets go of the transducer and the units of an encoding before it in the same worker."""
+    ran = []
+    for module in (sp_fst, toxicity):
+        monkeypatch.setattr(module, "map_batches", lambda df, fn, schema, real=module.map_batches: ran.append(fn) or real(df, fn, schema))
+    docs = spark.createDataFrame([(1, "some plain words")], "doc_id long, text string")
+    sp_fst.encode(docs, vocabulary("piece_bpe_32k.model"))
+    toxicity.toxicity_scores(docs, toxicity.fit_model([("you zorgle here", 1)] * 20 + [("all is fine here", 0)] * 40))
+    toxicity.fit(docs.selectExpr("doc_id AS h", "1 AS y", "text"))
+    encode, *others = ran
+    assert len(others) == 2
+    for after, batch in zip(others, ({"id": [1], "text": ["plain"]}, {"h": [1], "y": [1], "text": ["plain"]}), strict=True):
+        encode({"id": [1], "text": ["some plain words"]})
+        assert sp_fst.transducer.cache_info().currsize == 1
+        after(batch)
+        assert sp_fst.transducer.cache_info().currsize == 0
+
+
+def test_the_fit_from_arrow_parts_is_the_same():
+    """Parts held as Arrow text give the model that lists of strings give, phrases too, and are no lists."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [([f"{word()} {word()} {'you zorgle' if y else 'we agree'} {word()}", f"{word()} é 中"], y) for y in [1] * 40 + [0] * 120]
+    column = pa.array([p for p, _ in rows], pa.list_(pa.string()))
+    plain = toxicity.fit_model(rows)
+    lean = toxicity.fit_model([(toxicity.Parts(column.slice(3), i - 3) if i >= 3 else toxicity.Parts(column, i), y) for i, (_, y) in enumerate(rows)])
+    assert plain.digest == lean.digest and (plain.slope, plain.shift) == (lean.slope, lean.shift)

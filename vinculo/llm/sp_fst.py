@@ -10,7 +10,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vinculo.llm.texts import map_batches
+from vinculo.llm.texts import alone, map_batches
 
 #: Remembered units, and arc weights between pieces, per Python worker.
 CACHE_UNITS, CACHE_ARCS = 200_000, 400_000
@@ -264,6 +264,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batch: dict[str, list]) -> dict[str, list]:
+        alone("sp_fst", transducer.cache_clear)
         t = transducer(model)
         ids = [t.encode(x) for x in batch["text"]]
         return {"id": batch["id"], "ids": ids, "round_trip": [t.decode(i) == (x or "") for i, x in zip(ids, batch["text"], strict=True)]}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vinculo.functions.runtime import ROW, with_rows
-from vinculo.llm.texts import map_batches, randoms
+from vinculo.llm.texts import alone, map_batches, randoms
 
 #: Labelled documents of each class from which the model is fitted: those with the smallest hashes.
 MAX_TOXIC, MAX_CLEAN = 2500, 6000
@@ -276,14 +276,14 @@ def _nystroem(landmarks: list[str], words: list[str]) -> tuple[np.ndarray, np.nd
     return kernel(words, landmarks) @ root, root
 
 
-def _windows(bags: list[tuple[list[str], int]]) -> tuple[list[list[str]], list[list[str]]]:
+def _windows(bags: list[tuple[list[str] | Parts, int]]) -> tuple[list[list[str]], list[list[str]]]:
     """The windows of the toxic and of the clean documents: all words, and the two-word windows that three or more toxic documents hold.
 
     Equal words are one object, and two-word windows are counted in a table of hashes before they are held.
     """
     same: dict[str, str] = {}
     slots = np.zeros(PAIR_SLOTS, dtype=np.uint16)
-    split: tuple[list[list[str]], list[list[str]]] = ([], [])
+    split: tuple[list[list[str] | Parts], list[list[str] | Parts]] = ([], [])
     for parts, label in bags:
         split[label == 1].append(parts)
     each = lambda parts: {(a, b) for p in parts for a, b in couples(p) if a.isalpha() and b.isalpha()}
@@ -307,7 +307,17 @@ def _windows(bags: list[tuple[list[str], int]]) -> tuple[list[list[str]], list[l
 PAIR_SLOTS = 1 << 23
 
 
-def fit_model(rows: list[tuple[str | None | list[str], int]]) -> ToxicModel:
+class Parts:
+    """The parts of document ``at``, held as Arrow text and decoded each time they are read: as Python strings they take several times as much."""
+
+    def __init__(self, column: pa.ListArray, at: int) -> None:
+        self.column, self.at = column, at
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.column[self.at].values.to_pylist())
+
+
+def fit_model(rows: list[tuple[str | None | list[str] | Parts, int]]) -> ToxicModel:
     """Fit from (text, label) rows, or from (sentences of the text, label).
 
     The label is that of a document, whose instances are the one- and two-word windows of its
@@ -318,7 +328,7 @@ def fit_model(rows: list[tuple[str | None | list[str], int]]) -> ToxicModel:
     maximum of a document's margins is calibrated to the labels by logistic regression. Without
     both classes every score is the share of label 1 (0 without rows).
     """
-    bags = [(t if isinstance(t, list) else sentences(t), y) for t, y in rows]
+    bags = [(sentences(t) if t is None or isinstance(t, str) else t, y) for t, y in rows]
     toxic, clean = _windows(bags)
     clean_counts: dict[str, int] = dict(Counter(w for b in clean for w in b))
     positives = _witnesses(toxic, clean, clean_counts)
@@ -409,14 +419,14 @@ def fit(rows: DataFrame) -> ToxicModel:
     """
 
     def short(batch: dict[str, list]) -> dict[str, list]:
+        alone("toxicity")
         parts = [heapq.nsmallest(MAX_SENTENCES, parts_of(t), key=hash_of) for t in batch["text"]]
         return {"h": batch["h"], "y": batch["y"], "parts": parts}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sorted((h, y, parts) for b in batches for h, y, parts in zip(*(b.column(c).to_pylist() for c in ("h", "y", "parts")), strict=True))
-        rows = [(parts, y) for _, y, parts in held]
-        held.clear()
-        m = fit_model(rows)
+        alone("toxicity")
+        held = [(h, y, Parts(b.column("parts"), i)) for b in batches for i, (h, y) in enumerate(zip(b.column("h").to_pylist(), b.column("y").to_pylist(), strict=True))]
+        m = fit_model([(parts, y) for _, y, parts in sorted(held, key=lambda x: x[:2])])
         yield pa.RecordBatch.from_pydict({"weights": [m.weights.tobytes()], "numbers": [[m.offset, m.slope, m.shift]], "phrases": [[" ".join(p) for p in m.phrases]]})
 
     parts = map_batches(rows.select("h", "y", "text"), short, "h long, y int, parts array<string>").repartition(1)
@@ -438,6 +448,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
     shared, digest = spark.sparkContext.broadcast(model), model.digest  # 1 MB, whatever the input
 
     def run(batch: dict[str, list]) -> dict[str, list]:
+        alone("toxicity")
         m = shared.value
         if digest not in _caches:
             _caches.clear()
