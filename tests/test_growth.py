@@ -7,6 +7,8 @@ import pytest
 from tests.test_graph_and_ranks import brute
 from vinculo.functions import strong
 from vinculo.operators import scoring
+from vinculo.plans import queries
+from vinculo.plans.portfolio import Portfolio
 
 
 @pytest.fixture
@@ -63,3 +65,13 @@ def test_models_that_see_the_same_rows_are_fitted_once(spark, monkeypatch):
     of = {c: sorted((r.model, r.borrower_id, r.p_raw, r.p) for r in pred if r.condition == c) for c in "xy"}
     assert {m for m, *_ in of["x"]} == {"constant", "logistic", "gbt", "gbt_graph"} and len(of["x"]) == len(of["y"])
     assert [r for r in of["x"] if r[0] != "gbt_graph"] == [r for r in of["y"] if r[0] != "gbt_graph"]
+
+
+def test_the_registered_experiment_is_whole(spark, monkeypatch):
+    """Five seeds in both conditions, and 150 trees a model as in the reference (fitted with one here); models of a run are told apart."""
+    trees, plain = [], scoring.fit_gbt
+    monkeypatch.setattr(scoring, "fit_gbt", lambda train, features, trees=150, of=trees: (of.append((len(features), trees)), plain(train, features, trees=1))[1])
+    pred = queries.predictions(Portfolio(spark, "/root/testdata/sf0.001"))
+    assert sorted(trees) == [(3, 150)] * 5 + [(6, 150)] * 10
+    runs = {(r.condition, r.seed, r.model): r["count"] for r in pred.groupBy("condition", "seed", "model").count().collect()}
+    assert len(runs) == 2 * 5 * 4 and len({r[1] for r in runs}) == 5 and all(runs.values())

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -312,35 +314,54 @@ def sweep_members(conditions: Conditions, seeds: list[int]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Models of a sweep that are fitted at a time: each fit is thousands of short jobs one after the other, which leave most cores idle.
+FITS = 8
+
+
 def run_sweep(conditions: Conditions, seeds: list[int], trees: int = 150) -> DataFrame:
     """(condition, seed, model, borrower_id, group_id, y, p_raw, p): test predictions of four models before and after calibration.
 
-    ``conditions`` maps a name to (borrowers with label, edges). A part of a split with one class is an error. The
-    loop is over fits only; metrics and bootstraps run once over the union. Conditions with the same borrowers share
+    ``conditions`` maps a name to (borrowers with label, edges). A part of a split with one class is an error. Only
+    fits are one job after the other, ``FITS`` models at a time; metrics and bootstraps run once over the union. Conditions with the same borrowers share
     their splits and all models without graph features, which see the same rows in each.
     """
-    out, plain, splits = [], {}, {}
+    spark = next(iter(conditions.values()))[0].sparkSession
+    rows, splits, fits = {}, {}, []
     for name, (borrowers, edges) in conditions.items():
-        rows = materialize(graph_features(borrowers, edges).fillna({"connected_financial_stress": 0.0}))
-        of = id(borrowers)
-        if of not in splits:
-            splits[of] = materialize(split_by_seeds(rows, seeds))
-        for seed in seeds:
-            whole = materialize(rows.join(splits[of].where(F.col("seed") == seed).drop("seed"), "group_id"))
-            part = {s: whole.where(F.col("split") == s).drop("split") for s in ("train", "calibration", "test")}
-            if (of, seed) not in plain and whole.groupBy("split").agg(F.countDistinct("label").alias("n")).where("n < 2").count():
-                raise ValueError("each part must hold both classes")
-            fits = {"gbt_graph": lambda: fit_gbt(part["train"], feature_names(True), trees=trees)}  # noqa: B023
-            if (of, seed) not in plain:
-                rate = constant_model(part["train"])
-                fits |= {"constant": lambda: None, "logistic": lambda: fit_logistic(part["train"], feature_names(False)), "gbt": lambda: fit_gbt(part["train"], feature_names(False), trees=trees)}  # noqa: B023
-            made = {}
-            for model, fit in fits.items():
-                fitted = fit()
-                raw = lambda df: df.withColumn("p", F.lit(float(rate))) if fitted is None else predict(fitted, df)  # noqa: B023, E731
-                pred = calibrate(raw(part["calibration"]), raw(part["test"]))
-                made[model] = pred.select(F.lit(seed).alias("seed"), F.lit(model).alias("model"), "borrower_id", "group_id", F.col("label").alias("y"), F.col("p").alias("p_raw"), F.col("p_calibrated").alias("p"))
-            plain.setdefault((of, seed), {m: p for m, p in made.items() if m != "gbt_graph"})
-            for pred in [*plain[of, seed].values(), made["gbt_graph"]]:
-                out.append(pred.select(F.lit(name).alias("condition"), *pred.columns))
+        rows[name] = materialize(graph_features(borrowers, edges).fillna({"connected_financial_stress": 0.0}))
+        if id(borrowers) not in splits:
+            splits[id(borrowers)] = materialize(split_by_seeds(rows[name], seeds))
+            fits += [(name, seed, model) for seed in seeds for model in ("constant", "logistic", "gbt")]
+        fits += [(name, seed, "gbt_graph") for seed in seeds]
+
+    def parts_of(run: tuple[str, int]) -> dict[str, DataFrame]:
+        name, seed = run
+        whole = materialize(rows[name].join(splits[id(conditions[name][0])].where(F.col("seed") == seed).drop("seed"), "group_id"))
+        if whole.groupBy("split").agg(F.countDistinct("label").alias("n")).where("n < 2").count():
+            raise ValueError("each part must hold both classes")
+        return {s: whole.where(F.col("split") == s).drop("split") for s in ("train", "calibration", "test")}
+
+    def predicted(fit: tuple[str, int, str]) -> DataFrame:
+        name, seed, model = fit
+        part = parts[name, seed]
+        if model == "constant":
+            rate = float(constant_model(part["train"]))
+            raw = lambda df: df.withColumn("p", F.lit(rate))
+        else:
+            features = feature_names(model == "gbt_graph")
+            fitted = fit_logistic(part["train"], features) if model == "logistic" else fit_gbt(part["train"], features, trees=trees)
+            raw = lambda df: predict(fitted, df)
+        pred = calibrate(raw(part["calibration"]), raw(part["test"]))
+        return pred.select(F.lit(seed).alias("seed"), F.lit(model).alias("model"), "borrower_id", "group_id", F.col("label").alias("y"), F.col("p").alias("p_raw"), F.col("p_calibrated").alias("p"))
+
+    with ThreadPool(FITS) as pool:
+        runs = [(name, seed) for name in conditions for seed in seeds]
+        parts = dict(zip(runs, pool.map(inheritable_thread_target(spark)(parts_of), runs, 1), strict=True))
+        made = dict(zip(fits, pool.map(inheritable_thread_target(spark)(predicted), fits, 1), strict=True))
+    out = []
+    for name, seed in runs:
+        first = next(x for x, (borrowers, _) in conditions.items() if borrowers is conditions[name][0])
+        for model in ("constant", "logistic", "gbt", "gbt_graph"):
+            pred = made[name if model == "gbt_graph" else first, seed, model]
+            out.append(pred.select(F.lit(name).alias("condition"), *pred.columns))
     return reduce(DataFrame.unionByName, out)
