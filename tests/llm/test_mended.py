@@ -59,6 +59,23 @@ def test_a_passage_beside_one_found_with_the_first_document(spark):
     assert [i for i, _ in docs if i % least == 2 and not set(range(60, 168)) <= reached.get(i, set())] == []
 
 
+def test_words_said_over_and_over_do_not_meet_in_pairs(spark, monkeypatch):
+    """A line of one word, too short in half of the documents, which hold longer lines of other words: no more pairs than a few a window, and lines long enough are found."""
+    rng, pairs, plain = random.Random(41), [], compact_windows._rest_pairs
+    fill = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    def counted(*args):
+        out = plain(*args)
+        pairs.append((args[0].count(), out.count()))
+        return out
+
+    monkeypatch.setattr(compact_windows, "_rest_pairs", counted)
+    docs = [(i, fill(50) + (["for"] * 30 + [f"own{i}"] * 60 if i < 150 else ["for"] * 60) + fill(50)) for i in range(300)]
+    got = {(r.doc_id, r.rep_id, r.start_word, r.end_word) for r in compact_windows.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()}
+    assert {d for d, *_ in got} == set(range(150, 300)) and all((i, 150, 50, 110) in got for i in range(151, 300))
+    assert all(n <= 20 * windows for windows, n in pairs), pairs
+
+
 def test_stretches_are_the_best_of_the_least_width():
     rng = np.random.default_rng(3)
     for _ in range(300):
