@@ -59,6 +59,22 @@ def test_a_passage_beside_one_found_with_the_first_document(spark):
     assert [i for i, _ in docs if i % least == 2 and not set(range(60, 168)) <= reached.get(i, set())] == []
 
 
+def test_what_linked_windows_share_beyond_the_first_document(spark):
+    """The smallest id holds a passage; three others hold it with a few words more on either side, two of these with some more again: too few for a window of their own."""
+    rng = random.Random(31)
+    fill = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    docs, want, size = [], {}, 5
+    for f in range(60):
+        passage, before, more, again = fill(60), fill(7), fill(7), fill(6)
+        for i, words in enumerate((passage, before + passage + more, before + passage + more + again, before + passage + more + again, passage + more)):
+            docs.append((size * f + i, fill(60) + words + fill(60)))
+        want |= {size * f + 2: (60, 134, size * f + 1), size * f + 3: (60, 140, size * f + 2), size * f + 4: (60, 127, size * f + 1)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.start_word, r.end_word, r.rep_id) for r in compact_windows.repeated_passages(df).collect()}
+    assert all(d // size == rep // size for d, _, _, rep in got)
+    assert [i for i, (a, b, rep) in want.items() if (i, a, b, rep) not in got] == []
+
+
 def test_words_said_over_and_over_do_not_meet_in_pairs(spark, monkeypatch):
     """A line of one word, too short in half of the documents, which hold longer lines of other words: no more pairs than a few a window, and lines long enough are found."""
     rng, pairs, plain = random.Random(41), [], compact_windows._rest_pairs
